@@ -22,6 +22,8 @@ from stayline.session import durable
 
 CATEGORICAL_COLUMNS = ("industry", "country", "referral_source", "sub_plan_tier", "billing_frequency")
 
+MIN_ROWS_PER_TASK = 100
+
 LOGISTIC, FOREST, NO_BOOTSTRAP = "logistic_regression", "random_forest", "no_bootstrap_forest"
 
 
@@ -153,7 +155,16 @@ def estimators(settings: ModelSettings, weight_sum: float) -> dict[str, Estimato
 
 
 def _prepared(rows: DataFrame, features: Features, keep: Sequence[str], name: str) -> DataFrame:
-    return durable(features.apply(with_weights(rows), [*keep, "label", "w"]), name)
+    return _spread(durable(features.apply(with_weights(rows), [*keep, "label", "w"]), name))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """Use all cores where the stored rows came back in fewer partitions than that.
+
+    Learners keep the partitions of their input over all passes.
+    """
+    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // MIN_ROWS_PER_TASK + 1)
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
 
 
 def _weight_sum(rows: DataFrame) -> float:

@@ -46,14 +46,10 @@ def stratified_split(labelled: DataFrame, key: str, seed: int = SEED) -> DataFra
     # two classes, so the sizes and the cut points are two rows each
     weighted = keys.join(F.broadcast(sizes.select("label", "test")), "label").withColumn("one", F.lit(1))
     sliced = slice_in_order(weighted, ["draw", key], ["label", "test"])
-    cuts = _last_held_out(sliced)
+    cuts = at_ranks(sliced, "one", {"last": "test"}).select("label", "last")
     return (
         drawn.join(F.broadcast(cuts), "label", "left")
         .withColumn("is_test", F.coalesce(F.struct("draw", key) <= F.col("last"), F.lit(False)))
         .drop("draw", "last")
     )
 
-
-def _last_held_out(sliced) -> DataFrame:
-    found = at_ranks(sliced, "one", {"last": lambda total: F.col("test")})
-    return found.select("label", "last")

@@ -5,14 +5,15 @@ writes them down. What lies before a slice then follows from the slice totals, o
 at most (number of slices + number of groups), so ranks, quantiles and running totals need no
 global window. The order columns must be unique within a group: callers with repeated values
 count them first, which also removes the skew a frequent value would cause.
+
+Ranks are SQL expressions over ``total``, the total weight of the group, and count from 1.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from fractions import Fraction
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,8 +22,6 @@ from stayline.session import durable
 
 SLICE = "_slice"
 
-Rank = Callable[[Column], Column]
-
 
 @dataclass(frozen=True)
 class Sliced:
@@ -51,36 +50,37 @@ def slice_in_order(
 
 def _slice_bounds(sliced: Sliced, weights: Sequence[str]) -> DataFrame:
     """Weight before each slice, in it, and of its whole group; few rows, see the module text."""
-    per_slice = sliced.rows.groupBy(*sliced.group_by, SLICE).agg(
-        *[F.sum(w).alias(f"{w}_inside") for w in weights]
-    )
-    group = Window.partitionBy(*sliced.group_by)
-    earlier = group.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    group = f"partition by {', '.join(sliced.group_by)}" if sliced.group_by else ""
     columns = []
     for w in weights:
-        inside = F.sum(f"{w}_inside")
         columns += [
-            F.col(f"{w}_inside"),
-            F.coalesce(inside.over(earlier), F.lit(0)).alias(f"{w}_before"),
-            inside.over(group).alias(f"{w}_total"),
+            f"{w}_inside",
+            f"coalesce(sum({w}_inside) over ({group} order by {SLICE} rows between unbounded preceding "
+            f"and 1 preceding), 0) as {w}_before",
+            f"sum({w}_inside) over ({group}) as {w}_total",
         ]
-    return per_slice.select(*sliced.group_by, SLICE, *columns)
+    return (
+        sliced.rows.groupBy(*sliced.group_by, SLICE)
+        .agg(*[F.sum(w).alias(f"{w}_inside") for w in weights])
+        .selectExpr(*sliced.group_by, SLICE, *columns)
+    )
+
 
+def _within(ranks: Sequence[str], total: str, before: str, through: str) -> str:
+    """SQL test: one of the ranks lies in (before, through]."""
+    places = [rank.replace("total", total) for rank in ranks]
+    return " or ".join(f"({place} > {before} and {place} <= {through})" for place in places)
 
-def running_totals(
-    sliced: Sliced, weights: Sequence[str], ranks: Sequence[Rank] | None = None
-) -> DataFrame:
+
+def running_totals(sliced: Sliced, weights: Sequence[str], ranks: Sequence[str] | None = None) -> DataFrame:
     """Add ``<weight>_through``, the inclusive running total, and ``<weight>_total`` of the group.
 
     With ``ranks``, slices that hold none of these ranks of the first weight are left out.
     """
     bounds = _slice_bounds(sliced, weights)
     if ranks is not None:
-        first = weights[0]
-        before = F.col(f"{first}_before")
-        bounds = bounds.filter(
-            _contains(ranks, F.col(f"{first}_total"), before, before + F.col(f"{first}_inside"))
-        )
+        w = weights[0]
+        bounds = bounds.filter(_within(ranks, f"{w}_total", f"{w}_before", f"({w}_before + {w}_inside)"))
     in_slice = (
         Window.partitionBy(*sliced.group_by, SLICE)
         .orderBy(*sliced.order())
@@ -93,51 +93,33 @@ def running_totals(
     )
 
 
-def _contains(ranks: Sequence[Rank], total: Column, before: Column, through: Column) -> Column:
-    tests = [(rank(total) > before) & (rank(total) <= through) for rank in ranks]
-    return reduce(lambda a, b: a | b, tests)
-
-
-def at_ranks(sliced: Sliced, weight: str, ranks: dict[str, Rank]) -> DataFrame:
+def at_ranks(sliced: Sliced, weight: str, ranks: dict[str, str]) -> DataFrame:
     """One row per group: under each name the order columns found at that rank, and the total.
 
-    A rank is a function of the group total and counts from 1; outside the group it finds NULL.
+    A rank outside the group finds NULL.
     """
     near = running_totals(sliced, [weight], list(ranks.values()))
-    total, through = F.col(f"{weight}_total"), F.col(f"{weight}_through")
+    total, through = f"{weight}_total", f"{weight}_through"
     found = [
-        F.max(
-            F.when(
-                _contains([rank], total, through - F.col(weight), through),
-                F.struct(*sliced.order_by),
-            )
+        F.expr(
+            f"max(case when {_within([rank], total, f'({through} - {weight})', through)} "
+            f"then struct({', '.join(sliced.order_by)}) end)"
         ).alias(name)
         for name, rank in ranks.items()
     ]
-    return near.groupBy(*sliced.group_by).agg(*found, F.max(total).alias(f"{weight}_total"))
+    return near.groupBy(*sliced.group_by).agg(*found, F.max(total).alias(total))
 
 
 def quantiles(sliced: Sliced, weight: str, shares: dict[str, Fraction]) -> DataFrame:
     """Exact quantiles of the one order column, linear between neighbours; one row per group."""
     (value,) = sliced.order_by
-
-    def floor_rank(share: Fraction) -> Rank:
-        return lambda total: F.floor((total - 1) * share.numerator / share.denominator) + 1
-
-    def ceil_rank(share: Fraction) -> Rank:
-        return lambda total: F.ceil((total - 1) * share.numerator / share.denominator) + 1
-
-    ranks: dict[str, Rank] = {}
+    ranks: dict[str, str] = {}
+    columns: list[str] = []
     for name, share in shares.items():
-        ranks[f"{name}_low"] = floor_rank(share)
-        ranks[f"{name}_high"] = ceil_rank(share)
-    found = at_ranks(sliced, weight, ranks)
-    total = F.col(f"{weight}_total")
-
-    def between(name: str, share: Fraction) -> Column:
-        low = F.col(f"{name}_low.{value}").cast("double")
-        high = F.col(f"{name}_high.{value}").cast("double")
-        part = (total - 1) * share.numerator % share.denominator / float(share.denominator)
-        return (low + (high - low) * part).alias(name)
-
-    return found.select(*sliced.group_by, *[between(n, s) for n, s in shares.items()])
+        top, bottom = share.numerator, share.denominator
+        ranks[f"{name}_low"] = f"(floor((total - 1) * {top} / {bottom}) + 1)"
+        ranks[f"{name}_high"] = f"(ceil((total - 1) * {top} / {bottom}) + 1)"
+        low, high = (f"cast({name}_{end}.{value} as double)" for end in ("low", "high"))
+        part = f"(({weight}_total - 1) * {top} % {bottom} / {bottom})"
+        columns.append(f"{low} + ({high} - {low}) * {part} as {name}")
+    return at_ranks(sliced, weight, ranks).selectExpr(*sliced.group_by, *columns)

@@ -71,10 +71,7 @@ def value_segment(df: DataFrame) -> DataFrame:
     ends = at_ranks(
         slice_in_order(keys, ["mrr", "account_id"]),
         "n",
-        {
-            "last_low": lambda n: F.floor((n + 1) / 3),
-            "last_mid": lambda n: F.floor(2 * n / 3),
-        },
+        {"last_low": "floor((total + 1) / 3)", "last_mid": "floor(2 * total / 3)"},
     )
     ends = ends.select(F.struct("last_low", "last_mid").alias("ends")).scalar()
     mine = F.struct(mrr.alias("mrr"), F.col("account_id"))

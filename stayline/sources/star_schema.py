@@ -6,10 +6,9 @@ support tickets, sign-up events stand for churn events.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 # Columns the views read. Stating them spares the footer-reading job of schema inference.
 SCHEMAS = {
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string",
@@ -25,119 +24,103 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
-def _lookup(key: Column, values: dict) -> Column:
-    expr = F.lit(None).cast("string")
-    for match, label in reversed(list(values.items())):
-        expr = F.when(key == match, F.lit(label)).otherwise(expr)
-    return expr
-
-
 def accounts(spark: SparkSession, folder: str) -> DataFrame:
-    customer = _read(spark, folder, "customer")
-    nation = _read(spark, folder, "nation")
     first_order = (
         _read(spark, folder, "orders")
         .groupBy("o_custkey")
-        .agg(F.min(F.col("o_orderdate").cast("date")).alias("signup_date"))
+        .agg(F.min(F.expr("cast(o_orderdate as date)")).alias("signup_date"))
     )
-    key = F.col("c_custkey")
     return (
-        customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-        .join(first_order, key == F.col("o_custkey"), "left")
-        .select(
-            key.alias("account_id"),
-            F.col("c_name").alias("account_name"),
-            F.col("c_mktsegment").alias("industry"),
-            F.col("n_name").alias("country"),
+        _read(spark, folder, "customer")
+        .join(_read(spark, folder, "nation"), F.expr("c_nationkey = n_nationkey"))
+        .join(first_order, F.expr("c_custkey = o_custkey"), "left")
+        .selectExpr(
+            "c_custkey as account_id",
+            "c_name as account_name",
+            "c_mktsegment as industry",
+            "n_name as country",
             "signup_date",
-            _lookup(
-                F.col("n_regionkey"), {0: "organic", 1: "ads", 2: "event", 3: "partner", 4: "other"}
-            ).alias("referral_source"),
-            _lookup(key % 3, {0: "Basic", 1: "Pro", 2: "Enterprise"}).alias("plan_tier"),
-            (1 + key % 50).cast("int").alias("seats"),
-            (key % 7 == 0).alias("is_trial"),
-            (key * 7919 % 100 < 22).alias("churn_flag"),
+            "decode(n_regionkey, 0, 'organic', 1, 'ads', 2, 'event', 3, 'partner', 4, 'other') as referral_source",
+            "decode(c_custkey % 3, 0, 'Basic', 1, 'Pro', 2, 'Enterprise') as plan_tier",
+            "cast(1 + c_custkey % 50 as int) as seats",
+            "c_custkey % 7 = 0 as is_trial",
+            "c_custkey * 7919 % 100 < 22 as churn_flag",
         )
     )
 
 
 def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    mrr = F.when(key % 6 == 0, F.lit(0).cast("bigint")).otherwise(
-        F.floor(F.col("o_totalprice") / 100).cast("bigint")
-    )
-    return _read(spark, folder, "orders").select(
-        key.alias("subscription_id"),
-        F.col("o_custkey").alias("account_id"),
-        F.col("o_orderdate").cast("date").alias("start_date"),
-        _lookup(F.col("o_orderstatus"), {"F": "Basic", "O": "Pro", "P": "Enterprise"}).alias("plan_tier"),
-        mrr.alias("mrr_amount"),
-        (12 * mrr).alias("arr_amount"),
-        (key % 6 == 0).alias("is_trial"),
-        (key % 10 == 1).alias("upgrade_flag"),
-        (key % 20 == 3).alias("downgrade_flag"),
-        (key % 10 == 5).alias("churn_flag"),
-        F.when(key % 2 == 0, "monthly").otherwise("annual").alias("billing_frequency"),
-        (key % 5 != 0).alias("auto_renew_flag"),
+    mrr = "if(o_orderkey % 6 = 0, 0L, cast(floor(o_totalprice / 100) as bigint))"
+    return _read(spark, folder, "orders").selectExpr(
+        "o_orderkey as subscription_id",
+        "o_custkey as account_id",
+        "cast(o_orderdate as date) as start_date",
+        "decode(o_orderstatus, 'F', 'Basic', 'O', 'Pro', 'P', 'Enterprise') as plan_tier",
+        f"{mrr} as mrr_amount",
+        f"12 * {mrr} as arr_amount",
+        "o_orderkey % 6 = 0 as is_trial",
+        "o_orderkey % 10 = 1 as upgrade_flag",
+        "o_orderkey % 20 = 3 as downgrade_flag",
+        "o_orderkey % 10 = 5 as churn_flag",
+        "if(o_orderkey % 2 = 0, 'monthly', 'annual') as billing_frequency",
+        "o_orderkey % 5 <> 0 as auto_renew_flag",
     )
 
 
 def feature_usage(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("usage_id"),
-        F.col("l_orderkey").alias("subscription_id"),
-        F.col("l_shipdate").cast("date").alias("usage_date"),
-        F.concat(F.lit("feature_"), F.col("l_partkey") % 40).alias("feature_name"),
-        F.col("l_quantity").cast("int").alias("usage_count"),
-        F.floor(F.col("l_extendedprice") / 10).cast("int").alias("usage_duration_secs"),
-        F.round(F.col("l_discount") * 100).cast("int").alias("error_count"),
-        (F.col("l_suppkey") % 10 == 0).alias("is_beta_feature"),
+    return _read(spark, folder, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber as usage_id",
+        "l_orderkey as subscription_id",
+        "cast(l_shipdate as date) as usage_date",
+        "concat('feature_', l_partkey % 40) as feature_name",
+        "cast(l_quantity as int) as usage_count",
+        "cast(floor(l_extendedprice / 10) as int) as usage_duration_secs",
+        "cast(round(l_discount * 100) as int) as error_count",
+        "l_suppkey % 10 = 0 as is_beta_feature",
     )
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "events").withColumns({
-        "k": F.get_json_object("props", "$.k").cast("int"),
-        # event values carry two decimals; the exact type keeps sums independent of task order
-        "value": F.col("value").cast("decimal(18,2)"),
-    })
+    # event values carry two decimals; the exact type keeps sums independent of task order
+    return _read(spark, folder, "events").selectExpr(
+        "event_id",
+        "ts",
+        "user_id",
+        "event_type",
+        "cast(value as decimal(18,2)) as value",
+        "cast(get_json_object(props, '$.k') as int) as k",
+    )
 
 
 def support_tickets(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("k")
     return (
         _events(spark, folder)
-        .filter(F.col("event_type") != "signup")
-        .select(
-            F.col("event_id").alias("ticket_id"),
-            F.col("user_id").alias("account_id"),
-            F.col("ts").alias("submitted_at"),
-            F.col("value").alias("resolution_time_hours"),
-            _lookup(
-                F.col("event_type"), {"error": "urgent", "purchase": "high", "click": "medium", "view": "low"}
-            ).alias("priority"),
-            k.alias("first_response_time_minutes"),
-            F.when(k % 4 != 0, 1 + k % 5).alias("satisfaction_score"),
-            (F.col("value") > 100).alias("escalation_flag"),
+        .filter("event_type <> 'signup'")
+        .selectExpr(
+            "event_id as ticket_id",
+            "user_id as account_id",
+            "ts as submitted_at",
+            "value as resolution_time_hours",
+            "decode(event_type, 'error', 'urgent', 'purchase', 'high', 'click', 'medium', 'view', 'low') as priority",
+            "k as first_response_time_minutes",
+            "if(k % 4 <> 0, 1 + k % 5, null) as satisfaction_score",
+            "value > 100 as escalation_flag",
         )
     )
 
 
 def churn_events(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("k")
-    reasons = ("pricing", "support", "features", "budget", "competitor", "unknown")
     return (
         _events(spark, folder)
-        .filter(F.col("event_type") == "signup")
-        .select(
-            F.col("event_id").alias("churn_event_id"),
-            F.col("user_id").alias("account_id"),
-            F.col("ts").cast("date").alias("churn_date"),
-            _lookup(k % 6, dict(enumerate(reasons))).alias("reason_code"),
-            F.when(k % 4 == 0, F.col("value"))
-            .otherwise(F.lit(0).cast("decimal(18,2)"))
-            .alias("refund_amount_usd"),
-            (k % 10 == 0).alias("is_reactivation"),
+        .filter("event_type = 'signup'")
+        .selectExpr(
+            "event_id as churn_event_id",
+            "user_id as account_id",
+            "cast(ts as date) as churn_date",
+            "decode(k % 6, 0, 'pricing', 1, 'support', 2, 'features', 3, 'budget', 4, 'competitor', 5, 'unknown')"
+            " as reason_code",
+            "if(k % 4 = 0, value, cast(0 as decimal(18,2))) as refund_amount_usd",
+            "k % 10 = 0 as is_reactivation",
         )
     )
 
