@@ -18,7 +18,7 @@ from stayline.learning.evaluation import class_weights, classification_report, p
 from stayline.learning.imputation import medians, modes
 from stayline.learning.split import SEED, stratified_split
 from stayline.operators.segments import DERIVED_COLUMNS, FLAG_COLUMNS, NUMERIC_COLUMNS
-from stayline.session import durable
+from stayline.session import durable, small_table
 
 CATEGORICAL_COLUMNS = ("industry", "country", "referral_source", "sub_plan_tier", "billing_frequency")
 
@@ -32,6 +32,7 @@ class ModelSettings:
     """Fixed values of the three learners; tests pass fewer trees."""
 
     max_iter: int = 3000
+    tolerance: float = 1e-4
     penalty_c: float = 1.0
     forest_trees: int = 500
     no_bootstrap_trees: int = 600
@@ -99,8 +100,11 @@ def fit_features(train: DataFrame) -> Features:
     """
     numeric, categorical = numeric_features(train), categorical_features(train)
     # one row per feature
-    fill: dict[str, object] = {r["feature"]: r["median"] for r in medians(train, numeric).collect()}
-    fill.update({r["feature"]: r["mode"] for r in modes(train, categorical).collect()})
+    fill: dict[str, object] = {}
+    if numeric:
+        fill.update({r["feature"]: r["median"] for r in medians(train, numeric).collect()})
+    if categorical:
+        fill.update({r["feature"]: r["mode"] for r in modes(train, categorical).collect()})
     numeric = [c for c in numeric if c in fill]
     categorical = [c for c in categorical if c in fill]
     filled = _filled(train, fill, numeric, categorical, [])
@@ -141,6 +145,7 @@ def estimators(settings: ModelSettings, weight_sum: float) -> dict[str, Estimato
         LOGISTIC: LogisticRegression(
             **columns,
             maxIter=settings.max_iter,
+            tol=settings.tolerance,
             # MLlib averages the loss over the weights, a C penalty is set against their sum
             regParam=1.0 / (settings.penalty_c * weight_sum),
             elasticNetParam=0.0,
@@ -178,7 +183,7 @@ def score(model: Model, prepared: DataFrame) -> DataFrame:
 def compare_models(features: DataFrame, key: str = "account_id", settings: ModelSettings = ModelSettings()) -> Comparison:
     """Fit every learner on the training rows and judge it on the held-out ones.
 
-    The highest AUC wins, the earlier learner on a tie. ``summary`` has one row per learner and
+    ``features`` is read several times, so store it first. The highest AUC wins, the earlier learner on a tie. ``summary`` has one row per learner and
     ``held_out`` the best learner's probabilities.
     """
     rows = durable(stratified_split(labelled(features), key), "split")
@@ -199,7 +204,8 @@ def compare_models(features: DataFrame, key: str = "account_id", settings: Model
         for line in classification_report(predict_class(scores[name])).collect():  # five rows
             reports.append((name, aucs[name], *line))
     best = max(aucs, key=aucs.get)
-    summary = features.sparkSession.createDataFrame(
+    summary = small_table(
+        features.sparkSession,
         reports,
         "model string, roc_auc double, class_name string, precision double, recall double, f1_score double, support bigint",
     ).withColumn("is_best", F.col("model") == best)
@@ -247,7 +253,7 @@ def feature_importance(final: FinalModel, n: int | None = 15) -> DataFrame:
     spark = final.prepared.sparkSession
     schema = "feature string, importance double"
     if final.name not in (FOREST, NO_BOOTSTRAP):
-        return spark.createDataFrame([], schema)
+        return small_table(spark, [], schema)
     named = zip(feature_names(final.prepared), final.model.featureImportances.toArray().tolist())
-    ranked = spark.createDataFrame(list(named), schema).orderBy(F.desc("importance"), "feature")
+    ranked = small_table(spark, list(named), schema).orderBy(F.desc("importance"), "feature")
     return ranked if n is None else ranked.limit(n)

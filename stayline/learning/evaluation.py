@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.columns import safe_ratio
 from stayline.operators.ordering import Sliced, running_totals, slice_in_order
+from stayline.session import small_table
 
 THRESHOLD = 0.35
 CLASS_NAMES = ("Retained", "Churned")
@@ -41,7 +42,9 @@ def roc_curve(scored: DataFrame) -> DataFrame:
         safe_ratio(F.col("neg_through"), F.col("neg_total")).alias("fpr"),
         safe_ratio(F.col("pos_through"), F.col("pos_total")).alias("tpr"),
     )
-    origin = rows.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double")
+    origin = small_table(
+        rows.sparkSession, [(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double"
+    )
     return origin.unionByName(points)
 
 

@@ -11,7 +11,7 @@ TEST_PARTS, ALL_PARTS = 1, 5  # one fifth is held out
 SEED = 42
 
 
-def test_sizes(labelled: DataFrame) -> DataFrame:
+def held_out_sizes(labelled: DataFrame) -> DataFrame:
     """How many rows of each class are held out.
 
     The whole test set has ceil(n / 5) rows. Classes keep floor(n_class * n_train / n) training
@@ -42,7 +42,7 @@ def stratified_split(labelled: DataFrame, key: str, seed: int = SEED) -> DataFra
     """
     drawn = labelled.withColumn("draw", F.xxhash64(F.lit(seed), key))
     keys = drawn.select("label", "draw", key)
-    sizes = test_sizes(labelled)
+    sizes = held_out_sizes(labelled)
     # two classes, so the sizes and the cut points are two rows each
     weighted = keys.join(F.broadcast(sizes.select("label", "test")), "label").withColumn("one", F.lit(1))
     sliced = slice_in_order(weighted, ["draw", key], ["label", "test"])

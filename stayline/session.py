@@ -48,3 +48,8 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/stayline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A handful of rows in one partition, however many cores the cluster has."""
+    return spark.createDataFrame(rows, schema).coalesce(1)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from stayline.learning import churn_model, evaluation, imputation, split
 from stayline.operators import actions, distributions, segments, summaries
 from stayline.plans import kpis, reports
 from stayline.plans.master import build_master
+from stayline.session import durable
 from stayline.sources.star_schema import VIEWS, business_tables
 from stayline.sources.tables import table_profile
 
@@ -159,29 +161,43 @@ def _modes(spark: SparkSession, folder: str) -> DataFrame:
     return imputation.modes(df, churn_model.categorical_features(df))
 
 
+@lru_cache(maxsize=4)
+def _trained(application: str, folder: str) -> tuple[DataFrame, churn_model.Comparison]:
+    """Stored features and the model comparison, which four queries read."""
+    spark = SparkSession.getActiveSession()
+    features = durable(derived(spark, folder), "features")
+    return features, churn_model.compare_models(features)
+
+
+@lru_cache(maxsize=4)
+def _final(application: str, folder: str) -> churn_model.FinalModel:
+    features, comparison = _trained(application, folder)
+    return churn_model.refit(features, comparison.best)
+
+
 def _model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return churn_model.compare_models(derived(spark, folder)).summary
+    return _trained(spark.sparkContext.applicationId, folder)[1].summary
 
 
 def _held_out_roc(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.roc_curve(churn_model.compare_models(derived(spark, folder)).held_out)
+    return evaluation.roc_curve(_trained(spark.sparkContext.applicationId, folder)[1].held_out)
 
 
 def scored_accounts(spark: SparkSession, folder: str) -> DataFrame:
-    """Accounts scored by the best model, with segments and priority."""
-    return churn_model_scores(derived(spark, folder))
-
-
-def churn_model_scores(features: DataFrame) -> DataFrame:
-    best = churn_model.compare_models(features).best
-    scored = churn_model.score_accounts(features, churn_model.refit(features, best))
+    """Every account scored by the best model, with segments and priority."""
+    application = spark.sparkContext.applicationId
+    features, _ = _trained(application, folder)
+    scored = churn_model.score_accounts(features, _final(application, folder))
     return actions.add_priority(segments.add_segments(scored))
 
 
 def _feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    features = derived(spark, folder)
-    final = churn_model.refit(features, churn_model.compare_models(features).best)
-    return churn_model.feature_importance(final)
+    return churn_model.feature_importance(_final(spark.sparkContext.applicationId, folder))
+
+
+def _model_actions(spark: SparkSession, folder: str) -> DataFrame:
+    """The action list on the best model's own probabilities."""
+    return actions.top_accounts(scored_accounts(spark, folder))
 
 
 def _profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,4 +265,5 @@ def queries() -> dict[str, Query]:
         "held_out_roc_curve": _held_out_roc,
         "scored_accounts": scored_accounts,
         "feature_importance": _feature_importance,
+        "model_retention_actions": _model_actions,
     }
