@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -39,7 +41,6 @@ class ModelSettings:
     max_depth: int = 10
     min_leaf: int = 3
     seed: int = SEED
-    max_memory_mb: int = 1024
 
 
 @dataclass(frozen=True)
@@ -139,7 +140,6 @@ def estimators(settings: ModelSettings, weight_sum: float) -> dict[str, Estimato
         "minInstancesPerNode": settings.min_leaf,
         "featureSubsetStrategy": "sqrt",
         "seed": settings.seed,
-        "maxMemoryInMB": settings.max_memory_mb,
     }
     return {
         LOGISTIC: LogisticRegression(
@@ -176,6 +176,17 @@ def _weight_sum(rows: DataFrame) -> float:
     return rows.agg(F.sum("w")).first()[0]
 
 
+def _fit_all(learners: dict[str, Estimator], train: DataFrame) -> dict[str, Model]:
+    """Fit the learners side by side: each spends much of its time between jobs."""
+    spark = train.sparkSession
+
+    def fit(name: str) -> Model:
+        return inheritable_thread_target(spark)(lambda: learners[name].fit(train))()
+
+    with ThreadPool(len(learners)) as pool:
+        return dict(zip(learners, pool.map(fit, learners)))
+
+
 def score(model: Model, prepared: DataFrame) -> DataFrame:
     return model.transform(prepared).withColumn("churn_probability", vector_to_array("probability")[1])
 
@@ -197,8 +208,8 @@ def compare_models(features: DataFrame, key: str = "account_id", settings: Model
     aucs: dict[str, float] = {}
     scores: dict[str, DataFrame] = {}
     reports: list[tuple] = []
-    for name, estimator in estimators(settings, _weight_sum(train_rows)).items():
-        scored = score(estimator.fit(train_rows), test_rows)
+    for name, model in _fit_all(estimators(settings, _weight_sum(train_rows)), train_rows).items():
+        scored = score(model, test_rows)
         scores[name] = durable(scored.select(key, "label", "churn_probability", "probability"), "held-out")
         aucs[name] = evaluator.evaluate(scores[name])
         for line in classification_report(predict_class(scores[name])).collect():  # five rows

@@ -170,9 +170,8 @@ def _trained(application: str, folder: str) -> tuple[DataFrame, churn_model.Comp
 
 
 @lru_cache(maxsize=4)
-def _final(application: str, folder: str) -> churn_model.FinalModel:
-    features, comparison = _trained(application, folder)
-    return churn_model.refit(features, comparison.best)
+def _final(application: str, folder: str, name: str) -> churn_model.FinalModel:
+    return churn_model.refit(_trained(application, folder)[0], name)
 
 
 def _model_comparison(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,13 +185,17 @@ def _held_out_roc(spark: SparkSession, folder: str) -> DataFrame:
 def scored_accounts(spark: SparkSession, folder: str) -> DataFrame:
     """Every account scored by the best model, with segments and priority."""
     application = spark.sparkContext.applicationId
-    features, _ = _trained(application, folder)
-    scored = churn_model.score_accounts(features, _final(application, folder))
+    features, comparison = _trained(application, folder)
+    scored = churn_model.score_accounts(features, _final(application, folder, comparison.best))
     return actions.add_priority(segments.add_segments(scored))
 
 
 def _feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    return churn_model.feature_importance(_final(spark.sparkContext.applicationId, folder))
+    """Of the better forest, whichever learner is best of all."""
+    application = spark.sparkContext.applicationId
+    aucs = _trained(application, folder)[1].aucs
+    forest = max((churn_model.FOREST, churn_model.NO_BOOTSTRAP), key=aucs.get)
+    return churn_model.feature_importance(_final(application, folder, forest))
 
 
 def _model_actions(spark: SparkSession, folder: str) -> DataFrame:
