@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from stayline.functions.columns import safe_ratio
 from stayline.operators.ordering import Sliced, running_totals, slice_in_order
-from stayline.session import small_table
 
 THRESHOLD = 0.35
 CLASS_NAMES = ("Retained", "Churned")
@@ -42,8 +41,8 @@ def roc_curve(scored: DataFrame) -> DataFrame:
         safe_ratio(F.col("neg_through"), F.col("neg_total")).alias("fpr"),
         safe_ratio(F.col("pos_through"), F.col("pos_total")).alias("tpr"),
     )
-    origin = small_table(
-        rows.sparkSession, [(float("inf"), 0.0, 0.0)], "threshold double, fpr double, tpr double"
+    origin = rows.sparkSession.range(1, numPartitions=1).select(
+        F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
     return origin.unionByName(points)
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import sum_or_zero, usd_text
-from stayline.session import small_table
 
 # Priority names, actions and thresholds.
 P1 = "P1 — High Value, High Risk"
@@ -68,7 +67,8 @@ def by_priority(scored: DataFrame) -> DataFrame:
 
     An absent priority has count 0 and no mean or revenue.
     """
-    spine = small_table(scored.sparkSession, [(p,) for p in ACTIONS], "retention_priority string")
+    priorities = F.array(*map(F.lit, ACTIONS))
+    spine = scored.sparkSession.range(1, numPartitions=1).select(F.explode(priorities).alias("retention_priority"))
     found = scored.groupBy("retention_priority").agg(
         F.count(F.lit(1)).alias("accounts"),
         F.avg(_known_probability()).alias("mean_probability"),
