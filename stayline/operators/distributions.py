@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.operators.ordering import quantiles, slice_in_order
+from stayline.session import durable
 
 LABELS = ("retained", "churned")
 
@@ -29,7 +30,8 @@ def histogram(master: DataFrame, column: str = "mrr_amount", bins: int = 25) ->
     Bins are closed on the left, the last one on both sides. A single repeated value is centred in a
     range of width 1.
     """
-    counted = value_counts_by_label(master, column)
+    # read twice, for the extremes and for the bins
+    counted = durable(value_counts_by_label(master, column), "values")
     low, high = F.min("value"), F.max("value")
     half = F.when(low == high, 0.5).otherwise(0.0)
     # one row per label

@@ -162,40 +162,37 @@ def _modes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @lru_cache(maxsize=4)
-def _trained(application: str, folder: str) -> tuple[DataFrame, churn_model.Comparison]:
-    """Stored features and the model comparison, which four queries read."""
-    spark = SparkSession.getActiveSession()
+def _trained(spark: SparkSession, folder: str) -> tuple[DataFrame, churn_model.Comparison]:
+    """Stored features and the model comparison, which five queries read."""
     features = durable(derived(spark, folder), "features")
     return features, churn_model.compare_models(features)
 
 
 @lru_cache(maxsize=4)
-def _final(application: str, folder: str, name: str) -> churn_model.FinalModel:
-    return churn_model.refit(_trained(application, folder)[0], name)
+def _final(spark: SparkSession, folder: str, name: str) -> churn_model.FinalModel:
+    return churn_model.refit(_trained(spark, folder)[0], name)
 
 
 def _model_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return _trained(spark.sparkContext.applicationId, folder)[1].summary
+    return _trained(spark, folder)[1].summary
 
 
 def _held_out_roc(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.roc_curve(_trained(spark.sparkContext.applicationId, folder)[1].held_out)
+    return evaluation.roc_curve(_trained(spark, folder)[1].held_out)
 
 
 def scored_accounts(spark: SparkSession, folder: str) -> DataFrame:
     """Every account scored by the best model, with segments and priority."""
-    application = spark.sparkContext.applicationId
-    features, comparison = _trained(application, folder)
-    scored = churn_model.score_accounts(features, _final(application, folder, comparison.best))
+    features, comparison = _trained(spark, folder)
+    scored = churn_model.score_accounts(features, _final(spark, folder, comparison.best))
     return actions.add_priority(segments.add_segments(scored))
 
 
 def _feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     """Of the better forest, whichever learner is best of all."""
-    application = spark.sparkContext.applicationId
-    aucs = _trained(application, folder)[1].aucs
+    aucs = _trained(spark, folder)[1].aucs
     forest = max((churn_model.FOREST, churn_model.NO_BOOTSTRAP), key=aucs.get)
-    return churn_model.feature_importance(_final(application, folder, forest))
+    return churn_model.feature_importance(_final(spark, folder, forest))
 
 
 def _model_actions(spark: SparkSession, folder: str) -> DataFrame:
