@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stayline.functions.columns import mean_of, present, safe_ratio, sum_or_zero
 
@@ -38,9 +39,14 @@ def latest_subscription(subscriptions: DataFrame) -> DataFrame:
     lowest ``subscription_id``.
     """
     kept = present(subscriptions, LATEST_COLUMNS)
+    started = F.col("start_date")
+    if isinstance(subscriptions.schema["start_date"].dataType, T.DateType):
+        moment = F.unix_date(started)
+    else:
+        moment = F.unix_micros(started.cast("timestamp"))
     newest_first = F.struct(
-        F.col("start_date").isNull().alias("undated"),
-        (-F.unix_date("start_date")).alias("recency"),
+        started.isNull().alias("undated"),
+        (-moment).alias("recency"),
         "subscription_id",
         *kept,
     )

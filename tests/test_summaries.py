@@ -1,6 +1,7 @@
 import datetime
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from stayline.operators import summaries as U
@@ -26,6 +27,15 @@ def test_latest_subscription_breaks_ties_by_id_and_keeps_undated(spark):
     assert rows(U.latest_subscription(df), "account_id") == [("a", "Enterprise"), ("b", "Basic")]
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "string"])
+def test_latest_subscription_sees_the_time_of_day(spark, kind):
+    df = spark.createDataFrame(
+        [("a", "s1", "2024-05-01 08:00:00", "Basic"), ("a", "s2", "2024-05-01 09:00:00", "Pro")],
+        "account_id string, subscription_id string, start_date string, plan_tier string",
+    ).withColumn("start_date", F.col("start_date").cast(kind))
+    assert rows(U.latest_subscription(df), "account_id") == [("a", "Pro")]
+
+
 def test_support_summary_nulls(spark):
     df = spark.createDataFrame(
         [
