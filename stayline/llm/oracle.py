@@ -49,7 +49,32 @@ FROM judged JOIN texts USING (rowid_)
 """
 
 
+OP4 = r"""
+WITH sizes AS (
+  SELECT source, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes FROM documents GROUP BY source
+),
+weights AS (SELECT *, pow(bytes::DOUBLE, 0.7) AS weight FROM sizes),
+totals AS (SELECT sum(weight::DECIMAL(38, 12))::DOUBLE AS weight, sum(bytes) AS bytes FROM weights),
+rates AS (
+  SELECT source, round(w.weight / t.weight * t.bytes / w.bytes, 9) AS rate FROM weights w, totals t
+),
+steps AS (
+  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM (
+    SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, range(0, 60) AS r(k))
+),
+drawn AS (
+  SELECT d.*, coalesce(doc_id::VARCHAR, text) AS who,
+    ('0x' || md5('mix-1:' || coalesce(doc_id::VARCHAR, text, 'null'))[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM documents d
+)
+SELECT doc_id, text, lang, d.source, n_chars, k::INTEGER AS copy,
+  md5('mix-1:' || k::INTEGER || ':' || coalesce(who, 'null')) AS mix_key
+FROM drawn d JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_mix_sources": OP4,
         "op7_quality_ledger": OP7,
     }

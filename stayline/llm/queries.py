@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import quality
+from stayline.llm import decontaminate, mixing, quality, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.replicate(_table(spark, folder, "documents"))
+
+
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, folder, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op7_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return quality.ledger(docs).select(
@@ -27,7 +40,22 @@ def op7_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
+    value = F.coalesce("text", F.lit(""))
+    sized = _table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(value) + F.lit(8).cast("long")).alias("size"), F.crc32(value.cast("binary")).alias("text_crc32")
+    )
+    placed = sharding.assign(sized, order=("doc_id",), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_decontaminate": op2_decontaminate,
+        "op4_mix_sources": op4_mix_sources,
+        "op5_simhash": op5_simhash,
         "op7_quality_ledger": op7_quality_ledger,
+        "op9_shard": op9_shard,
     }
