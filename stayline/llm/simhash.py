@@ -66,7 +66,7 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
         found = [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())]
         hashes = np.array(found, np.uint64)
         for at in range(0, len(hashes), 65536):
-            ones += np.unpackbits(hashes[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0)
+            ones += np.unpackbits(hashes[at:at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         n += len(hashes)
     if not n and carried:
         return digest(b" ".join(carried), SEED)
