@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import decontaminate, mixing, quality, sharding, simhash
+from stayline.llm import chat, decontaminate, line_dedup, lm_scoring, mixing, quality, sharding, simhash, token_records, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,10 +16,26 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _vocabulary() -> token_records.Vocabulary:
+    import public_tokenizers
+
+    return token_records.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op1_token_records(spark: SparkSession, folder: str) -> DataFrame:
+    written = token_records.write_tokens(_table(spark, folder, "documents"), _vocabulary())
+    return token_records.token_digests(spark, written)
+
+
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    written = warc.write_warc(_table(spark, folder, "pages"))
+    return warc.read_warc(spark, written).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.replicate(_table(spark, folder, "documents"))
 
@@ -29,6 +45,12 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    scored = lm_scoring.score(_table(spark, folder, "documents"), _vocabulary())
+    mean = F.col("log_score") / F.col("n_tokens")
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 6).alias("log_score"), F.round(mean, 6).alias("mean_log_score"))
+
+
 def op7_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return quality.ledger(docs).select(
@@ -40,6 +62,11 @@ def op7_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_rotate_chat(spark: SparkSession, folder: str) -> DataFrame:
+    rotated = chat.rotate(_table(spark, folder, "conversations"))
+    return rotated.select("conv_id", "perspective", "part", "n_messages", "text", chat.spans_text().alias("target_spans"))
+
+
 def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
     value = F.coalesce("text", F.lit(""))
     sized = _table(spark, folder, "documents").select(
@@ -51,11 +78,14 @@ def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    gone = line_dedup.repeated_lines(_table(spark, folder, "documents"))
+    return gone.select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "distance")
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op2_decontaminate": op2_decontaminate,
-        "op4_mix_sources": op4_mix_sources,
-        "op5_simhash": op5_simhash,
-        "op7_quality_ledger": op7_quality_ledger,
-        "op9_shard": op9_shard,
-    }
+    found = (
+        op1_token_records, op2_decontaminate, op3_warc, op4_mix_sources, op5_simhash,
+        op6_lm_score, op7_quality_ledger, op8_rotate_chat, op9_shard, op10_line_dedup,
+    )
+    return {query.__name__: query for query in found}

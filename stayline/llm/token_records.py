@@ -12,8 +12,10 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,8 +29,8 @@ from stayline.llm.storage import TaskFile, commit, in_order, new_folder, open_st
 #: Text encoded together, and file bytes read by one task.
 RUN_BYTES = 4 << 20
 READ_BYTES = 32 << 20
-#: Text pieces whose ids a task remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Text pieces whose ids a worker remembers, the first ones it meets; later ones are encoded anew.
+REMEMBERED = 800_000
 _HEAD, _SUM, _BODY = struct.Struct("<Q"), struct.Struct("<I"), struct.Struct("<qII")
 _NO_ID = 1
 _INDEX = np.dtype([("offset", "<u8"), ("ids", "<u8")])
@@ -58,23 +60,24 @@ class Encoder:
         largest = max(self._tokenizer.get_vocab_size(with_added_tokens=True) - 1, vocabulary.end_id)
         self.kind = np.dtype("<u2" if largest < 1 << 16 else "<u4")
         self._end = np.array([vocabulary.end_id], self.kind).tobytes()
+        self._code = "H" if self.kind.itemsize == 2 else "I"
         self._first: dict[str, bytes | None] = {}
         self._later: dict[str, bytes | None] = {}
 
-    def _learn(self, known: dict[str, bytes | None], pieces: set[str], front: str) -> None:
+    def _learn(self, known: dict[str, bytes | None], pieces: set[str], front: str) -> list[str]:
+        """Add the pieces that are not known yet, and return them if they are too many to stay."""
         new = [p for p in pieces if p not in known]
         cut = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         known.update(dict.fromkeys(new))
         found = self._tokenizer.encode_batch_fast([front + p for p in cut], add_special_tokens=False)
         for piece, ids in zip(cut, found):
-            known[piece] = np.array(ids.ids, self.kind).tobytes()
+            known[piece] = array(self._code, ids.ids).tobytes()
+        return new if len(known) > REMEMBERED else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self._later) + len(self._first) > REMEMBERED:
-            self._first, self._later = {}, {}
         cut = [t.split(" ") for t in texts]
-        self._learn(self._first, {c[0] for c in cut}, "")
-        self._learn(self._later, set(chain.from_iterable(c[1:] for c in cut)), " ")
+        passing = self._learn(self._first, {c[0] for c in cut}, "")
+        more = self._learn(self._later, set(chain.from_iterable(c[1:] for c in cut)), " ")
         out = []
         for text, pieces in zip(texts, cut):
             parts = [self._first[pieces[0]], *map(self._later.__getitem__, pieces[1:]), self._end]
@@ -82,9 +85,18 @@ class Encoder:
                 whole = self._tokenizer.encode(text, add_special_tokens=False).ids if text else []
                 parts = [np.array(whole, self.kind).tobytes(), self._end]
             out.append(b"".join(parts))
+        for known, pieces in ((self._first, passing), (self._later, more)):
+            for piece in pieces:
+                del known[piece]
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder_of(vocabulary: Vocabulary) -> Encoder:
+    """The encoder of this process, which keeps what it has learnt from task to task."""
+    return Encoder(vocabulary)
+
+
 def frame(bodies: list[bytes]) -> list[bytes]:
     """Whole records for bodies."""
     lengths = [_HEAD.pack(len(b)) for b in bodies]
@@ -103,7 +115,7 @@ def _write_shard(batches: Iterator[pa.RecordBatch], folder: str, vocabulary: Voc
     for batch in slices(batches, 1, RUN_BYTES):
         if data is None:
             part = batch.column(2)[0].as_py()
-            encoder = Encoder(vocabulary)
+            encoder = encoder_of(vocabulary)
             data = TaskFile(folder, f"tokens-{part:06d}.rec")
         ids = batch.column(0).to_pylist()
         found = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
