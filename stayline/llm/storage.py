@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,7 +93,7 @@ class TaskFile:
         self.name = name
         self.temporary = f"_temporary/{name}.{uuid.uuid4().hex}"
         store.create_dir(f"{root}/_temporary", recursive=True)
-        self._stream = store.open_output_stream(f"{root}/{self.temporary}")
+        self._stream = store.open_output_stream(f"{root}/{self.temporary}", compression=None)
         self.size = 0
 
     def write(self, data: bytes) -> None:
@@ -121,7 +122,7 @@ def commit(folder: str, files: list[tuple[str, str]], manifest: bytes) -> None:
 def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows whose ``column`` has about ``most_bytes``; one longer row stays whole."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start = total = 0
         for at, length in enumerate(lengths):
             if total and total + length > most_bytes:

@@ -335,7 +335,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = open_store(folder)
         for name in (n for batch in batches for n in batch.column(0).to_pylist()):
-            with store.open_input_stream(f"{root}/{name}") as f:
+            with store.open_input_stream(f"{root}/{name}", compression=None) as f:
                 rows, size = [], 0
                 for member in _members(f):
                     row = _page(member)
