@@ -21,17 +21,18 @@ from stayline.operators.actions import (
     impact_text,
     top_accounts,
 )
-from stayline.operators.distributions import box_outliers, box_stats, histogram
+from stayline.operators.distributions import box_parts, histogram
 from stayline.operators.segments import add_segments, derive_features, segment_counts
 from stayline.plans.kpis import churn_rate_by, churn_reason_counts, kpi_text, kpis
 from stayline.plans.master import build_master
 from stayline.plans.reports import all_reports
-from stayline.session import durable
+from stayline.session import durable, work_folder
 from stayline.sources.sinks import write_actions, write_master, write_scored, write_small
-from stayline.sources.tables import read_parquet_table, table_profile
+from stayline.sources.tables import preview, read_parquet_table, table_profile
 
 MASTER, SCORED, ACTIONS = "master_table", "master_with_predictions", "retention_actions"
 
+# Names of the chart data sets and the columns they show.
 RATE_CHARTS = {
     "01_churn_by_plan_tier": "sub_plan_tier",
     "02_churn_by_industry": "industry",
@@ -47,14 +48,22 @@ BOX_CHARTS = {
 }
 
 
-def explore(spark: SparkSession, tables: dict[str, DataFrame], output: str, as_of: date | None = None) -> None:
+def explore(
+    spark: SparkSession, tables: dict[str, DataFrame], output: str, as_of: date | None = None, work: str | None = None
+) -> None:
     """Write the master table once, then the KPIs and chart data sets computed from it.
 
-    A chart whose column is absent is left out.
+    A chart whose column is absent is left out. Intermediates lie below ``work`` (``output`` by default) while the job runs.
     """
+    with work_folder(spark, work or output):
+        _explore(spark, tables, output, as_of)
+
+
+def _explore(spark: SparkSession, tables: dict[str, DataFrame], output: str, as_of: date | None) -> None:
     write_small(table_profile(tables), f"{output}/table_profile")
     write_master(build_master(tables, as_of), f"{output}/{MASTER}")
     master = read_parquet_table(spark, f"{output}/{MASTER}")
+    write_small(preview(master, order_by="account_id"), f"{output}/master_preview")
     figures = durable(kpis(master), "kpis")
     write_small(figures, f"{output}/kpis")
     write_small(kpi_text(figures), f"{output}/kpi_text")
@@ -67,13 +76,24 @@ def explore(spark: SparkSession, tables: dict[str, DataFrame], output: str, as_o
         write_small(histogram(master), f"{output}/05_mrr_distribution_churn")
     for chart, column in BOX_CHARTS.items():
         if column in master.columns:
-            write_small(box_stats(master, column), f"{output}/{chart}")
-            write_small(box_outliers(master, column), f"{output}/{chart}_outliers")
+            stats, outliers = box_parts(master, column)
+            write_small(stats, f"{output}/{chart}")
+            write_small(outliers, f"{output}/{chart}_outliers")
+
 
+def score(
+    spark: SparkSession, output: str, settings: ModelSettings = ModelSettings(), work: str | None = None
+) -> None:
+    """Train, choose, score every account of the stored master table and write what to do.
 
-def score(spark: SparkSession, output: str, settings: ModelSettings = ModelSettings()) -> None:
-    """Train, choose, score every account of the stored master table and write what to do."""
+    Intermediates lie below ``work`` (``output`` by default) while the job runs.
+    """
     master = read_parquet_table(spark, f"{output}/{MASTER}")
+    with work_folder(spark, work or output):
+        _score(spark, master, output, settings)
+
+
+def _score(spark: SparkSession, master: DataFrame, output: str, settings: ModelSettings) -> None:
     features = durable(derive_features(master), "features")
     comparison = compare_models(features, settings=settings)
     write_small(comparison.summary, f"{output}/model_comparison")

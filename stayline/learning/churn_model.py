@@ -22,10 +22,9 @@ from stayline.learning.split import SEED, stratified_split
 from stayline.operators.segments import DERIVED_COLUMNS, FLAG_COLUMNS, NUMERIC_COLUMNS
 from stayline.session import durable, small_table
 
+# The categorical features.
 CATEGORICAL_COLUMNS = ("industry", "country", "referral_source", "sub_plan_tier", "billing_frequency")
 
-MIN_ROWS_PER_TASK = 100
-
 LOGISTIC, FOREST, NO_BOOTSTRAP = "logistic_regression", "random_forest", "no_bootstrap_forest"
 
 
@@ -41,6 +40,12 @@ class ModelSettings:
     max_depth: int = 10
     min_leaf: int = 3
     seed: int = SEED
+    # Partitions of the training rows. Part of the model: another number draws other samples.
+    partitions: int = 16
+    # Node statistics of one pass: with more, fewer passes over the rows.
+    memory_mb: int = 1024
+    # Learners that are fitted at a time; each keeps its own copy of the training rows.
+    side_by_side: int = 3
 
 
 @dataclass(frozen=True)
@@ -140,6 +145,7 @@ def estimators(settings: ModelSettings, weight_sum: float) -> dict[str, Estimato
         "minInstancesPerNode": settings.min_leaf,
         "featureSubsetStrategy": "sqrt",
         "seed": settings.seed,
+        "maxMemoryInMB": settings.memory_mb,
     }
     return {
         LOGISTIC: LogisticRegression(
@@ -159,31 +165,28 @@ def estimators(settings: ModelSettings, weight_sum: float) -> dict[str, Estimato
     }
 
 
-def _prepared(rows: DataFrame, features: Features, keep: Sequence[str], name: str) -> DataFrame:
-    return _spread(durable(features.apply(with_weights(rows), [*keep, "label", "w"]), name))
-
-
-def _spread(rows: DataFrame) -> DataFrame:
-    """Use all cores where the stored rows came back in fewer partitions than that.
+def _prepared(rows: DataFrame, features: Features, keep: Sequence[str], settings: ModelSettings, name: str) -> DataFrame:
+    """Stored training rows in a layout that depends on the keys alone.
 
-    Learners keep the partitions of their input over all passes.
+    Learners draw samples and sum up partition by partition. Rows are therefore dealt by a hash of
+    their key into a fixed number of partitions and sorted there, whatever files and cores they came from.
     """
-    wanted = min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // MIN_ROWS_PER_TASK + 1)
-    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
+    stored = durable(features.apply(with_weights(rows), [*keep, "label", "w"]), name)
+    return stored.repartition(settings.partitions, *keep).sortWithinPartitions(*keep)
 
 
 def _weight_sum(rows: DataFrame) -> float:
     return rows.agg(F.sum("w")).first()[0]
 
 
-def _fit_all(learners: dict[str, Estimator], train: DataFrame) -> dict[str, Model]:
+def _fit_all(learners: dict[str, Estimator], train: DataFrame, at_once: int) -> dict[str, Model]:
     """Fit the learners side by side: each spends much of its time between jobs."""
     spark = train.sparkSession
 
     def fit(name: str) -> Model:
         return inheritable_thread_target(spark)(lambda: learners[name].fit(train))()
 
-    with ThreadPool(len(learners)) as pool:
+    with ThreadPool(at_once) as pool:
         return dict(zip(learners, pool.map(fit, learners)))
 
 
@@ -200,7 +203,7 @@ def compare_models(features: DataFrame, key: str = "account_id", settings: Model
     rows = durable(stratified_split(labelled(features), key), "split")
     train, test = rows.filter(~F.col("is_test")), rows.filter(F.col("is_test"))
     fitted = fit_features(train)
-    train_rows = _prepared(train, fitted, [key], "train")
+    train_rows = _prepared(train, fitted, [key], settings, "train")
     test_rows = durable(fitted.apply(test, [key, "label"]), "test")
     evaluator = BinaryClassificationEvaluator(
         labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC", numBins=0
@@ -208,7 +211,7 @@ def compare_models(features: DataFrame, key: str = "account_id", settings: Model
     aucs: dict[str, float] = {}
     scores: dict[str, DataFrame] = {}
     reports: list[tuple] = []
-    for name, model in _fit_all(estimators(settings, _weight_sum(train_rows)), train_rows).items():
+    for name, model in _fit_all(estimators(settings, _weight_sum(train_rows)), train_rows, settings.side_by_side).items():
         scored = score(model, test_rows)
         scores[name] = durable(scored.select(key, "label", "churn_probability", "probability"), "held-out")
         aucs[name] = evaluator.evaluate(scores[name])
@@ -236,7 +239,7 @@ class FinalModel:
 def refit(features: DataFrame, name: str, key: str = "account_id", settings: ModelSettings = ModelSettings()) -> FinalModel:
     rows = durable(labelled(features), "labelled")
     fitted = fit_features(rows)
-    prepared = _prepared(rows, fitted, [key], "all")
+    prepared = _prepared(rows, fitted, [key], settings, "all")
     model = estimators(settings, _weight_sum(prepared))[name].fit(prepared)
     return FinalModel(name, model, fitted, prepared)
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import safe_ratio
-from stayline.operators.ordering import Sliced, running_totals, slice_in_order
+from stayline.operators.ordering import SLICE, Sliced, running_totals, slice_in_order
 
+# Decision threshold and class names of the report.
 THRESHOLD = 0.35
 CLASS_NAMES = ("Retained", "Churned")
 
@@ -34,9 +35,27 @@ def roc_auc(scored: DataFrame) -> DataFrame:
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score, and the origin at an infinite threshold."""
-    rows = running_totals(_by_score(scored), ["pos", "neg"])
-    points = rows.select(
+    """(threshold, fpr, tpr) along the curve, from the origin at an infinite threshold.
+
+    A score whose step equals the next one's lies on a straight line and is left out; the first and the last
+    score always stay, so the drawn curve and its area are the same.
+    """
+    sliced = _by_score(scored)
+    step = F.struct("pos", "neg")
+    in_slice = Window.partitionBy(SLICE).orderBy(*sliced.order())
+    # one row per slice
+    over_slices = Window.partitionBy().orderBy(SLICE)
+    following = (
+        sliced.rows.groupBy(SLICE).agg(F.max_by(step, "churn_probability").alias("first"))
+        .select(SLICE, F.lead("first").over(over_slices).alias("next_slice"))
+    )
+    rows = (
+        running_totals(sliced, ["pos", "neg"])
+        .join(F.broadcast(following), SLICE)
+        .withColumn("next", F.coalesce(F.lead(step).over(in_slice), "next_slice"))
+    )
+    first = (F.col("pos_through") == F.col("pos")) & (F.col("neg_through") == F.col("neg"))
+    points = rows.filter(first | F.col("next").isNull() | (F.col("next") != step)).select(
         F.col("churn_probability").alias("threshold"),
         safe_ratio(F.col("neg_through"), F.col("neg_total")).alias("fpr"),
         safe_ratio(F.col("pos_through"), F.col("pos_total")).alias("tpr"),

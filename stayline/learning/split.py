@@ -40,13 +40,14 @@ def stratified_split(labelled: DataFrame, key: str, seed: int = SEED) -> DataFra
     Within a class the rows with the lowest hashes are held out. Only the last held-out (hash, key)
     of each class is looked up, so a class of any size never meets in one task.
     """
-    drawn = labelled.withColumn("draw", F.xxhash64(F.lit(seed), key))
+    digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"))), 1, 15)
+    drawn = labelled.withColumn("draw", F.conv(digits, 16, 10).cast("long"))
     keys = drawn.select("label", "draw", key)
     sizes = held_out_sizes(labelled)
     # two classes, so the sizes and the cut points are two rows each
     weighted = keys.join(F.broadcast(sizes.select("label", "test")), "label").withColumn("one", F.lit(1))
     sliced = slice_in_order(weighted, ["draw", key], ["label", "test"])
-    cuts = at_ranks(sliced, "one", {"last": "test"}).select("label", "last")
+    cuts = at_ranks(sliced, "one", {"last": lambda total: "test"}).select("label", "last")
     return (
         drawn.join(F.broadcast(cuts), "label", "left")
         .withColumn("is_test", F.coalesce(F.struct("draw", key) <= F.col("last"), F.lit(False)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stayline.operators.ordering import quantiles, slice_in_order
 from stayline.session import durable
 
+# Churn labels of the master table.
 LABELS = ("retained", "churned")
 
 WHISKER = 1.5
@@ -76,9 +77,23 @@ def _fenced(master: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return rows, quarters
 
 
+def box_parts(master: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """``box_stats`` and ``box_outliers`` of a column from one ordering of its values."""
+    rows, _ = _fenced(master, column)
+    return _stats(rows), _outliers(rows)
+
+
 def box_stats(master: DataFrame, column: str) -> DataFrame:
     """Quartiles, whiskers (furthest values within 1.5 IQR of the box) and outlier count by label."""
-    rows, _ = _fenced(master, column)
+    return box_parts(master, column)[0]
+
+
+def box_outliers(master: DataFrame, column: str) -> DataFrame:
+    """The values outside the whiskers, with their number of accounts."""
+    return box_parts(master, column)[1]
+
+
+def _stats(rows: DataFrame) -> DataFrame:
     value = F.col("value")
     quarters = ["q1", "median", "q3"]
     return (
@@ -101,7 +116,5 @@ def box_stats(master: DataFrame, column: str) -> DataFrame:
     )
 
 
-def box_outliers(master: DataFrame, column: str) -> DataFrame:
-    """The values outside the whiskers, with their number of accounts."""
-    rows, _ = _fenced(master, column)
+def _outliers(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("inside")).select("churn_label", "value", "n")

@@ -6,12 +6,14 @@ at most (number of slices + number of groups), so ranks, quantiles and running t
 global window. The order columns must be unique within a group: callers with repeated values
 count them first, which also removes the skew a frequent value would cause.
 
-Ranks are SQL expressions over ``total``, the total weight of the group, and count from 1.
+A rank is a function that writes the SQL of the rank from that of the group's total weight; ranks count from 1.
+Slice totals are sent to every task: one for each slice, and one for each slice and group where a slice holds several
+groups. Callers group by a label, a class or a feature only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from fractions import Fraction
 
@@ -22,6 +24,8 @@ from stayline.session import durable
 
 SLICE = "_slice"
 
+Rank = Callable[[str], str]
+
 
 @dataclass(frozen=True)
 class Sliced:
@@ -66,13 +70,13 @@ def _slice_bounds(sliced: Sliced, weights: Sequence[str]) -> DataFrame:
     )
 
 
-def _within(ranks: Sequence[str], total: str, before: str, through: str) -> str:
+def _within(ranks: Sequence[Rank], total: str, before: str, through: str) -> str:
     """SQL test: one of the ranks lies in (before, through]."""
-    places = [rank.replace("total", total) for rank in ranks]
+    places = [rank(total) for rank in ranks]
     return " or ".join(f"({place} > {before} and {place} <= {through})" for place in places)
 
 
-def running_totals(sliced: Sliced, weights: Sequence[str], ranks: Sequence[str] | None = None) -> DataFrame:
+def running_totals(sliced: Sliced, weights: Sequence[str], ranks: Sequence[Rank] | None = None) -> DataFrame:
     """Add ``<weight>_through``, the inclusive running total, and ``<weight>_total`` of the group.
 
     With ``ranks``, slices that hold none of these ranks of the first weight are left out.
@@ -93,7 +97,7 @@ def running_totals(sliced: Sliced, weights: Sequence[str], ranks: Sequence[str]
     )
 
 
-def at_ranks(sliced: Sliced, weight: str, ranks: dict[str, str]) -> DataFrame:
+def at_ranks(sliced: Sliced, weight: str, ranks: dict[str, Rank]) -> DataFrame:
     """One row per group: under each name the order columns found at that rank, and the total.
 
     A rank outside the group finds NULL.
@@ -113,12 +117,12 @@ def at_ranks(sliced: Sliced, weight: str, ranks: dict[str, str]) -> DataFrame:
 def quantiles(sliced: Sliced, weight: str, shares: dict[str, Fraction]) -> DataFrame:
     """Exact quantiles of the one order column, linear between neighbours; one row per group."""
     (value,) = sliced.order_by
-    ranks: dict[str, str] = {}
+    ranks: dict[str, Rank] = {}
     columns: list[str] = []
     for name, share in shares.items():
         top, bottom = share.numerator, share.denominator
-        ranks[f"{name}_low"] = f"(floor((total - 1) * {top} / {bottom}) + 1)"
-        ranks[f"{name}_high"] = f"(ceil((total - 1) * {top} / {bottom}) + 1)"
+        ranks[f"{name}_low"] = lambda total, t=top, b=bottom: f"(floor(({total} - 1) * {t} / {b}) + 1)"
+        ranks[f"{name}_high"] = lambda total, t=top, b=bottom: f"(ceil(({total} - 1) * {t} / {b}) + 1)"
         low, high = (f"cast({name}_{end}.{value} as double)" for end in ("low", "high"))
         part = f"(({weight}_total - 1) * {top} % {bottom} / {bottom})"
         columns.append(f"{low} + ({high} - {low}) * {part} as {name}")

@@ -71,7 +71,7 @@ def value_segment(df: DataFrame) -> DataFrame:
     ends = at_ranks(
         slice_in_order(keys, ["mrr", "account_id"]),
         "n",
-        {"last_low": "floor((total + 1) / 3)", "last_mid": "floor(2 * total / 3)"},
+        {"last_low": lambda total: f"floor(({total} + 1) / 3)", "last_mid": lambda total: f"floor(2 * {total} / 3)"},
     )
     ends = ends.select(F.struct("last_low", "last_mid").alias("ends")).scalar()
     mine = F.struct(mrr.alias("mrr"), F.col("account_id"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from stayline.functions.columns import mean_of, present, safe_ratio, sum_or_zero
 
+# Subscription columns of the master table and their names there.
 LATEST_COLUMNS = (
     "plan_tier",
     "mrr_amount",
@@ -36,7 +37,7 @@ def latest_subscription(subscriptions: DataFrame) -> DataFrame:
     """The subscription with the greatest start date of each account.
 
     Ties go to the lowest ``subscription_id``; an account whose dates are all missing keeps its
-    lowest ``subscription_id``.
+    lowest ``subscription_id``. Subscriptions without an account are left out.
     """
     kept = present(subscriptions, LATEST_COLUMNS)
     started = F.col("start_date")
@@ -50,7 +51,8 @@ def latest_subscription(subscriptions: DataFrame) -> DataFrame:
         "subscription_id",
         *kept,
     )
-    best = subscriptions.groupBy("account_id").agg(F.min(newest_first).alias("best"))
+    owned = subscriptions.filter(F.col("account_id").isNotNull())
+    best = owned.groupBy("account_id").agg(F.min(newest_first).alias("best"))
     return best.select(
         "account_id", *[F.col(f"best.{c}").alias(LATEST_RENAMES.get(c, c)) for c in kept]
     )
@@ -90,10 +92,15 @@ def usage_summary(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
             F.count_if("is_beta_feature").alias("beta"),
         )
     )
-    owner = subscriptions.select("subscription_id", "account_id").distinct()
+    # one exchange on the join key: the accounts of a subscription, in practice one
+    owner = (
+        subscriptions.filter(F.col("subscription_id").isNotNull() & F.col("account_id").isNotNull())
+        .groupBy("subscription_id")
+        .agg(F.collect_set("account_id").alias("owners"))
+        .select("subscription_id", F.explode("owners").alias("account_id"))
+    )
     return (
         per_feature.join(owner, "subscription_id")
-        .filter(F.col("account_id").isNotNull())
         .groupBy("account_id")
         .agg(
             F.sum("events").alias("total_usage_events"),

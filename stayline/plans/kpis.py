@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions.columns import number_text, rate_pct, sum_or_zero, usd_text
 
-# dimension -> ascending order
+# Dimensions of the breakdowns -> ascending order
 BREAKDOWNS = {
     "sub_plan_tier": True,
     "industry": False,
@@ -40,6 +40,7 @@ def kpis(master: DataFrame) -> DataFrame:
 def kpi_text(figures: DataFrame) -> DataFrame:
     """The figures as (position, kpi, value) rows, formatted for people."""
     trial = F.col("trial_churn_rate_pct")
+    # Names of the figures as people read them.
     texts = [
         ("Total Accounts", F.col("total_accounts").cast("string")),
         ("Churn Rate (%)", number_text(F.col("churn_rate_pct"), 1)),

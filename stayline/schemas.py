@@ -27,7 +27,8 @@ ACCOUNTS = _struct(
 SUBSCRIPTIONS = _struct(
     subscription_id=T.StringType(),
     account_id=T.StringType(),
-    start_date=T.DateType(),
+    # some sources give a time of day, which decides between subscriptions of one day
+    start_date=T.TimestampType(),
     end_date=T.DateType(),
     plan_tier=T.StringType(),
     seats=T.IntegerType(),
@@ -60,7 +61,8 @@ SUPPORT_TICKETS = _struct(
     resolution_time_hours=T.DoubleType(),
     priority=T.StringType(),
     first_response_time_minutes=T.IntegerType(),
-    satisfaction_score=T.IntegerType(),
+    # half points occur
+    satisfaction_score=T.DoubleType(),
     escalation_flag=T.BooleanType(),
 )
 

@@ -19,10 +19,6 @@ MISSING_MARKERS = (
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Tables with free text, whose quoted cells may hold line breaks. Such a file is read by one task.
-FREE_TEXT_TABLES = ("churn_events",)
-
-
 class MissingInput(FileNotFoundError):
     """An input table is not where it was looked for."""
 
@@ -30,8 +26,9 @@ class MissingInput(FileNotFoundError):
 def _typed(name: str, kind: T.DataType) -> Column:
     column = F.col(name)
     if isinstance(kind, T.IntegerType):
-        # writers of nullable integers often emit "4.0"
-        return column.try_cast("double").try_cast("int").alias(name)
+        # writers of nullable integers often emit "4.0"; a fraction is no count and becomes NULL
+        number = column.try_cast("double")
+        return F.when(number == F.floor(number), number.try_cast("int")).alias(name)
     return column.try_cast(kind).alias(name)
 
 
@@ -77,17 +74,21 @@ def read_catalog_table(spark: SparkSession, name: str) -> DataFrame:
 
 
 def load_tables(
-    spark: SparkSession, location: str, fmt: str = "csv", prefix: str = ""
+    spark: SparkSession, location: str, fmt: str = "csv", prefix: str = "", multi_line: tuple[str, ...] = ()
 ) -> dict[str, DataFrame]:
     """The five tables as ``<location>/<prefix><table>.<fmt>``, or ``<location>.<prefix><table>``
-    for ``fmt="catalog"``."""
+    for ``fmt="catalog"``.
+
+    CSV files are split over tasks. ``multi_line`` names tables whose quoted cells hold line breaks; such a
+    file is read by one task.
+    """
     if fmt == "catalog":
         return {t: read_catalog_table(spark, f"{location}.{prefix}{t}") for t in TABLES}
     if fmt == "parquet":
         return {t: read_parquet_table(spark, f"{location}/{prefix}{t}.parquet") for t in TABLES}
     if fmt == "csv":
         return {
-            t: read_csv_table(spark, f"{location}/{prefix}{t}.csv", s, multi_line=t in FREE_TEXT_TABLES)
+            t: read_csv_table(spark, f"{location}/{prefix}{t}.csv", s, multi_line=t in multi_line)
             for t, s in TABLES.items()
         }
     raise ValueError(f"unknown format {fmt!r}")
@@ -112,6 +113,6 @@ def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def preview(df: DataFrame, n: int = 3) -> DataFrame:
-    """A few rows to look at."""
-    return df.limit(n)
+def preview(df: DataFrame, n: int = 3, order_by: str | None = None) -> DataFrame:
+    """A few rows to look at; with ``order_by``, the same ones every time."""
+    return (df if order_by is None else df.orderBy(order_by)).limit(n)

@@ -23,6 +23,7 @@ def test_all_jobs_end_to_end(spark, folder, tmp_path):
     jobs.report(tables, out)
     jobs.score(spark, out, FEW)
 
+    assert not list(tmp_path.glob("_work*"))
     n = tables["accounts"].count()
     master = spark.read.parquet(f"{out}/master_table")
     scored = spark.read.parquet(f"{out}/master_with_predictions")

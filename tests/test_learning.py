@@ -85,6 +85,23 @@ def test_same_seed_same_forest(features):
     assert np.allclose(one, two)
 
 
+@pytest.mark.parametrize("name", [M.FOREST, M.NO_BOOTSTRAP, M.LOGISTIC])
+def test_training_does_not_depend_on_files(spark, features, tmp_path, name):
+    found = []
+    for files, parallel in ((1, "1"), (9, "5")):
+        path = f"{tmp_path}/{files}"
+        features.repartition(files).write.parquet(path)
+        spark.conf.set("spark.sql.files.minPartitionNum", parallel)
+        try:
+            final = M.refit(spark.read.parquet(path), name, settings=FEW)
+        finally:
+            spark.conf.unset("spark.sql.files.minPartitionNum")
+        scored = M.score_accounts(features, final).select("account_id", "churn_probability")
+        found.append({r.account_id: r.churn_probability for r in scored.collect()})
+    assert found[0].keys() == found[1].keys()
+    assert np.allclose([found[0][k] for k in found[0]], [found[1][k] for k in found[0]], rtol=0, atol=1e-9)
+
+
 @pytest.mark.parametrize("name", [M.LOGISTIC, M.FOREST, M.NO_BOOTSTRAP])
 def test_every_account_is_scored_once(features, name):
     final = M.refit(features, name, settings=FEW)
@@ -108,5 +125,5 @@ def test_the_models_find_a_planted_signal(spark):
     r = random.Random(1)
     rows = [(f"{i:04d}", t := r.randrange(100), r.randrange(9), t + r.randrange(-20, 20) > 60) for i in range(600)]
     df = spark.createDataFrame(rows, "account_id string, ticket_count int, seats int, churn_flag boolean")
-    found = M.compare_models(df, settings=FEW)
+    found = M.compare_models(df, settings=M.ModelSettings(max_iter=30, forest_trees=5, no_bootstrap_trees=4, max_depth=5))
     assert min(found.aucs.values()) > 0.9

@@ -79,14 +79,14 @@ def test_value_segment_moves_no_account_row(spark, folder):
 
 class FakeSession:
     def __init__(self, master, folder=None):
-        self.conf = SimpleNamespace(get=lambda key, default: folder or default)
+        settings = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": "file:/w"}
+        self.conf = SimpleNamespace(get=lambda key, default=None: settings.get(key) or default)
         self.sparkContext = SimpleNamespace(master=master, applicationId=f"app-{master}")
 
 
 def test_shared_folder():
     assert shared_folder(FakeSession("yarn", "hdfs://x/ck")) == "hdfs://x/ck"
-    local = FakeSession("local[2]")
-    assert shared_folder(local) == shared_folder(local)
+    assert shared_folder(FakeSession("local[2]")) == "file:/w/_work"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_folder(FakeSession("yarn"))
 

@@ -3,6 +3,7 @@ from decimal import Decimal
 
 import pytest
 
+from stayline.operators.summaries import latest_subscription
 from stayline.plans.reports import all_reports
 from stayline.schemas import SUPPORT_TICKETS, TABLES
 from stayline.sources import sinks
@@ -28,7 +29,7 @@ def test_csv_is_read_by_name_and_leniently(spark, tmp_path):
         "low,t3,a,nan,,NaN,2024-01-02,y\n"
     )
     df = read_csv_table(spark, str(path), SUPPORT_TICKETS)
-    assert dict(df.dtypes)["satisfaction_score"] == "int" and dict(df.dtypes)["extra"] == "string"
+    assert dict(df.dtypes)["satisfaction_score"] == "double" and dict(df.dtypes)["extra"] == "string"
     a, b, c = df.orderBy("ticket_id").collect()
     assert (a.priority, a.satisfaction_score, a.escalation_flag, a.resolution_time_hours) == ("urgent", 4, True, 2.5)
     assert a.submitted_at == datetime.datetime(2024, 1, 2, 3, 4, 5)
@@ -36,12 +37,37 @@ def test_csv_is_read_by_name_and_leniently(spark, tmp_path):
     assert (c.satisfaction_score, c.escalation_flag, c.resolution_time_hours) == (None, None, None)
 
 
+def test_fractions_and_times_of_day_are_not_cut_off(spark, tmp_path):
+    (tmp_path / "s.csv").write_text(
+        "subscription_id,account_id,start_date,plan_tier,seats\n"
+        "s1,a,2024-01-02 08:00:00,Basic,4.0\ns2,a,2024-01-02 09:00:00,Pro,4.5\ns3,,2024-01-03,Pro,1\ns4,b,2024-01-03,Basic,x\n"
+    )
+    df = read_csv_table(spark, str(tmp_path / "s.csv"), TABLES["subscriptions"])
+    assert {r.subscription_id: r.seats for r in df.collect()} == {"s1": 4, "s2": None, "s3": 1, "s4": None}
+    assert {r.account_id: r.sub_plan_tier for r in latest_subscription(df).collect()} == {"a": "Pro", "b": "Basic"}
+    (tmp_path / "t.csv").write_text("ticket_id,account_id,satisfaction_score\nt1,a,4.5\nt2,a,4\n")
+    tickets = read_csv_table(spark, str(tmp_path / "t.csv"), SUPPORT_TICKETS)
+    assert sorted(r.satisfaction_score for r in tickets.collect()) == [4.0, 4.5]
+
+
+def test_csv_files_are_split(spark, tmp_path):
+    for name, schema in TABLES.items():
+        (tmp_path / f"{name}.csv").write_text(",".join(schema.fieldNames()) + "\n" + f"{name},x\n" * 20_000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        tables = load_tables(spark, str(tmp_path))
+        assert all(df.rdd.getNumPartitions() > 1 for df in tables.values())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_quoted_line_breaks_in_feedback(spark, tmp_path):
     for name, schema in TABLES.items():
         (tmp_path / f"x_{name}.csv").write_text(",".join(schema.fieldNames()) + "\n")
     with open(tmp_path / "x_churn_events.csv", "a") as f:
         f.write('e1,a,2024-03-01,pricing,12.50,False,False,True,"too ""dear"",\nsorry"\n')
-    tables = load_tables(spark, str(tmp_path), prefix="x_")
+    tables = load_tables(spark, str(tmp_path), prefix="x_", multi_line=("churn_events",))
     (row,) = tables["churn_events"].collect()
     assert row.feedback_text == 'too "dear",\nsorry'
     assert row.refund_amount_usd == Decimal("12.50") and row.churn_date == datetime.date(2024, 3, 1)

@@ -160,15 +160,20 @@ by_priority AS (
   FROM prioritised GROUP BY retention_priority
 )"""
 
+# Numeric and categorical features of the models.
 NUMERIC = (
-    "tenure_days seats mrr_amount arr_amount ticket_count avg_resolution_hrs avg_first_response_mins avg_satisfaction "
-    "escalation_count urgent_ticket_count total_usage_events total_usage_count avg_duration_secs total_errors "
-    "beta_feature_uses unique_features tenure_months tickets_per_month usage_events_per_month avg_usage_per_event "
-    "errors_per_100_usage usage_per_feature revenue_per_seat escalation_rate is_trial sub_is_trial auto_renew_flag "
-    "upgrade_flag downgrade_flag"
-).split()
+    "tenure_days", "seats", "mrr_amount", "arr_amount", "ticket_count", "avg_resolution_hrs", "avg_first_response_mins", "avg_satisfaction",
+    "escalation_count", "urgent_ticket_count", "total_usage_events", "total_usage_count", "avg_duration_secs", "total_errors",
+    "beta_feature_uses", "unique_features", "tenure_months", "tickets_per_month", "usage_events_per_month", "avg_usage_per_event",
+    "errors_per_100_usage", "usage_per_feature", "revenue_per_seat", "escalation_rate", "is_trial", "sub_is_trial", "auto_renew_flag",
+    "upgrade_flag", "downgrade_flag",
+)
 
-CATEGORICAL = "industry country referral_source sub_plan_tier billing_frequency".split()
+CATEGORICAL = ("industry", "country", "referral_source", "sub_plan_tier", "billing_frequency")
+
+ROUND_TRIP = """SELECT * REPLACE (round(avg_resolution_hrs, 6) AS avg_resolution_hrs,
+  round(avg_first_response_mins, 6) AS avg_first_response_mins, round(avg_satisfaction, 6) AS avg_satisfaction,
+  round(avg_duration_secs, 6) AS avg_duration_secs) FROM master"""
 
 PCT_1DP = "floor(CAST(2000 * {a} + {b} AS DOUBLE) / CAST(2 * {b} AS DOUBLE)) / 10.0::DOUBLE"
 
@@ -349,6 +354,73 @@ def _modes() -> str:
     )
 
 
+def _split_rows() -> str:
+    sizes = _split_sizes().split("\nSELECT label, n, CAST", 1)[1]
+    return _on_scored(
+        "SELECT account_id, label, row_number() OVER (PARTITION BY label ORDER BY draw, account_id) <= test AS is_test FROM ("
+        "SELECT account_id, label, ('0x' || md5('42:' || account_id)[1:15])::BIGINT AS draw FROM ranked) "
+        f"JOIN (SELECT label, n, CAST{sizes}) USING (label)"
+    )
+
+
+def _encoded() -> str:
+    numbers = [
+        f"SELECT account_id, 'num__{c}' AS slot, coalesce(CAST({c} AS DOUBLE), quantile_cont(CAST({c} AS DOUBLE), 0.5) OVER ()) AS v FROM derived"
+        for c in NUMERIC
+    ]
+    categories = [
+        f"""SELECT d.account_id, 'cat__{c}_' || k.v AS slot, CAST(CAST(coalesce(d.{c}, m.v) = k.v AS INTEGER) AS DOUBLE) AS v
+FROM derived d, (SELECT DISTINCT {c} AS v FROM derived WHERE {c} IS NOT NULL) k,
+  (SELECT {c} AS v FROM derived WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) m"""
+        for c in CATEGORICAL
+    ]
+    return _on_master(
+        "SELECT account_id, slot, round(v, 6) AS value FROM (\n" + "\nUNION ALL ".join(numbers + categories) + "\n)",
+        DERIVED,
+    )
+
+
+# the same faults as in workload/checks.py
+DIRTY = """
+accounts AS (
+  SELECT * REPLACE (CASE WHEN account_id % 11 <> 0 THEN industry END AS industry,
+    CASE WHEN account_id % 19 = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST(seats AS DOUBLE) END AS seats,
+    CASE WHEN account_id % 5 <> 0 THEN churn_flag END AS churn_flag) FROM clean_accounts
+),
+subscriptions AS (
+  SELECT * REPLACE (CASE WHEN subscription_id % 13 <> 0 THEN account_id END AS account_id,
+    CAST(mrr_amount + 0.25 AS DECIMAL(18,2)) AS mrr_amount,
+    CASE WHEN subscription_id % 17 = 0 THEN 'n/a' ELSE CAST(arr_amount AS VARCHAR) END AS arr_amount) FROM clean_subscriptions
+),
+support_tickets AS (
+  SELECT * REPLACE (CASE WHEN ticket_id % 3 = 0 THEN satisfaction_score + 0.5::DOUBLE ELSE satisfaction_score END AS satisfaction_score)
+  FROM clean_support_tickets
+),
+churn_events AS (
+  SELECT * REPLACE (CASE WHEN churn_event_id % 4 <> 0 THEN reason_code END AS reason_code) FROM clean_churn_events
+)"""
+
+
+def _on_dirty(select: str, *parts: str) -> str:
+    views = VIEWS
+    for name in ("accounts", "subscriptions", "support_tickets", "churn_events"):
+        views = views.replace(f"\n{name} AS (", f"\nclean_{name} AS (")
+    return "WITH " + ",".join((views, DIRTY, *parts)) + "\n" + select
+
+
+def _dirty_master() -> str:
+    return _on_dirty(
+        """SELECT account_id, industry, churn_flag, churn_label, CASE WHEN NOT isinf(seats) THEN seats END AS seats,
+  CAST(mrr_amount AS DOUBLE) AS mrr_amount, TRY_CAST(arr_amount AS DOUBLE) AS arr_amount,
+  round(avg_satisfaction, 6) AS avg_satisfaction, churn_reason,
+  round(CASE WHEN isinf(seats) THEN CASE WHEN mrr_amount IS NOT NULL THEN 0.0::DOUBLE END
+    ELSE CAST(mrr_amount AS DOUBLE) / nullif(seats, 0) END, 6) AS revenue_per_seat
+FROM master""",
+        SUMMARIES,
+        MASTER,
+    )
+
+
 def _profile() -> str:
     widths = {"accounts": 10, "subscriptions": 12, "feature_usage": 8, "support_tickets": 8, "churn_events": 6}
     return _with(
@@ -401,19 +473,18 @@ def oracle_sql() -> dict[str, str]:
         "report_churn_by_plan": _churn_report("plan_tier"),
         "report_churn_by_industry": _churn_report("industry"),
         "report_revenue_at_risk": _with(
-            """SELECT CAST(sum(CASE WHEN a.churn_flag THEN s.mrr_amount ELSE 0 END) AS BIGINT) AS churned_mrr,
-  CAST(sum(CASE WHEN NOT a.churn_flag THEN s.mrr_amount ELSE 0 END) AS BIGINT) AS active_mrr,
-  CAST(sum(s.mrr_amount) AS BIGINT) AS total_mrr
-FROM accounts a JOIN subscriptions s ON a.account_id = s.account_id"""
+            """SELECT CAST(coalesce(sum(held.mrr) FILTER (WHERE accounts.churn_flag), 0) AS BIGINT) AS churned_mrr,
+  CAST(coalesce(sum(held.mrr) FILTER (WHERE NOT accounts.churn_flag), 0) AS BIGINT) AS active_mrr,
+  CAST(sum(held.mrr) AS BIGINT) AS total_mrr
+FROM (SELECT account_id, sum(mrr_amount) AS mrr FROM subscriptions GROUP BY account_id) AS held JOIN accounts USING (account_id)"""
         ),
         "report_sla_breaches": _with(
             """SELECT priority, count(*) AS total_tickets,
   round(CAST(sum(resolution_time_hours) AS DOUBLE) / count(resolution_time_hours), 1) AS avg_resolution_hours,
-  CAST(sum(CASE WHEN priority = 'urgent' AND resolution_time_hours > 4 THEN 1
-    WHEN priority = 'high' AND resolution_time_hours > 8 THEN 1
-    WHEN priority = 'medium' AND resolution_time_hours > 24 THEN 1
-    WHEN priority = 'low' AND resolution_time_hours > 48 THEN 1 ELSE 0 END) AS BIGINT) AS sla_breaches
-FROM support_tickets GROUP BY priority"""
+  CAST(count(*) FILTER (WHERE resolution_time_hours > limits.hours) AS BIGINT) AS sla_breaches
+FROM support_tickets LEFT JOIN (VALUES ('low', 48), ('medium', 24), ('high', 8), ('urgent', 4)) AS limits(priority, hours)
+  USING (priority)
+GROUP BY priority"""
         ),
         "report_feature_errors": _with(
             """SELECT feature_name, CAST(sum(usage_count) AS BIGINT) AS total_usage,
@@ -510,7 +581,10 @@ FROM (SELECT label, count(*) AS n FROM ranked GROUP BY label)"""
         ),
         "roc_curve": _on_scored(
             """SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0::DOUBLE AS fpr, 0.0::DOUBLE AS tpr
-UNION ALL SELECT churn_probability, CAST(fp AS DOUBLE) / CAST(q AS DOUBLE), CAST(tp AS DOUBLE) / CAST(p AS DOUBLE) FROM cumulated""",
+UNION ALL SELECT churn_probability, CAST(fp AS DOUBLE) / CAST(q AS DOUBLE), CAST(tp AS DOUBLE) / CAST(p AS DOUBLE) FROM (
+  SELECT *, row_number() OVER s AS place, lead(pos) OVER s AS next_pos, lead(neg) OVER s AS next_neg FROM cumulated
+  WINDOW s AS (ORDER BY churn_probability DESC)
+) WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg""",
             SCORES,
         ),
         "classification_report": _on_scored(
@@ -521,7 +595,26 @@ UNION ALL SELECT churn_probability, CAST(fp AS DOUBLE) / CAST(q AS DOUBLE), CAST
         "stratified_split_sizes": _split_sizes(),
         "impute_median": _medians(),
         "impute_mode": _modes(),
+        "split_rows": _split_rows(),
+        "encoded_features": _encoded(),
+        "master_preview": _on_master("SELECT * FROM master ORDER BY account_id LIMIT 3"),
+        "csv_round_trip": _on_master(ROUND_TRIP),
+        "catalog_round_trip": _on_master(ROUND_TRIP),
+        "scored_round_trip": _on_scored(
+            "SELECT account_id, churn_probability, retention_priority, retention_priority[1:2] AS priority_class FROM prioritised"
+        ),
+        "dirty_master": _dirty_master(),
+        "dirty_reason_counts": _on_dirty(
+            "SELECT reason_code, count(*) AS n FROM churn_events WHERE reason_code IS NOT NULL GROUP BY reason_code"
+        ),
+        "dirty_churn_rate": _on_dirty(
+            "SELECT industry, CAST(sum(CAST(churn_flag AS INTEGER)) AS DOUBLE) / count(churn_flag) * 100 AS churn_rate_pct "
+            "FROM master WHERE industry IS NOT NULL GROUP BY industry",
+            SUMMARIES,
+            MASTER,
+        ),
     }
+    queries["actions_round_trip"] = queries["retention_actions"]
     boxes = {
         "satisfaction": "avg_satisfaction",
         "usage_events": "total_usage_events",

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +19,7 @@ from stayline.plans.master import build_master
 from stayline.session import durable
 from stayline.sources.star_schema import VIEWS, business_tables
 from stayline.sources.tables import table_profile
+from workload import checks
 
 AS_OF = date(1997, 1, 1)
 
@@ -161,18 +161,12 @@ def _modes(spark: SparkSession, folder: str) -> DataFrame:
     return imputation.modes(df, churn_model.categorical_features(df))
 
 
-@lru_cache(maxsize=4)
 def _trained(spark: SparkSession, folder: str) -> tuple[DataFrame, churn_model.Comparison]:
-    """Stored features and the model comparison, which five queries read."""
+    """Stored features and the model comparison, trained anew for each query."""
     features = durable(derived(spark, folder), "features")
     return features, churn_model.compare_models(features)
 
 
-@lru_cache(maxsize=4)
-def _final(spark: SparkSession, folder: str, name: str) -> churn_model.FinalModel:
-    return churn_model.refit(_trained(spark, folder)[0], name)
-
-
 def _model_comparison(spark: SparkSession, folder: str) -> DataFrame:
     return _trained(spark, folder)[1].summary
 
@@ -184,15 +178,15 @@ def _held_out_roc(spark: SparkSession, folder: str) -> DataFrame:
 def scored_accounts(spark: SparkSession, folder: str) -> DataFrame:
     """Every account scored by the best model, with segments and priority."""
     features, comparison = _trained(spark, folder)
-    scored = churn_model.score_accounts(features, _final(spark, folder, comparison.best))
+    scored = churn_model.score_accounts(features, churn_model.refit(features, comparison.best))
     return actions.add_priority(segments.add_segments(scored))
 
 
 def _feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     """Of the better forest, whichever learner is best of all."""
-    aucs = _trained(spark, folder)[1].aucs
-    forest = max((churn_model.FOREST, churn_model.NO_BOOTSTRAP), key=aucs.get)
-    return churn_model.feature_importance(_final(spark, folder, forest))
+    features, comparison = _trained(spark, folder)
+    forest = max((churn_model.FOREST, churn_model.NO_BOOTSTRAP), key=comparison.aucs.get)
+    return churn_model.feature_importance(churn_model.refit(features, forest))
 
 
 def _model_actions(spark: SparkSession, folder: str) -> DataFrame:
@@ -261,6 +255,7 @@ def queries() -> dict[str, Query]:
         "stratified_split_sizes": _split_sizes,
         "impute_median": _medians,
         "impute_mode": _modes,
+        **checks.queries(),
         "model_comparison": _model_comparison,
         "held_out_roc_curve": _held_out_roc,
         "scored_accounts": scored_accounts,
