@@ -34,9 +34,8 @@ class Mix:
 
 
 def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash of ``parts``; null counts as the word null."""
-    text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, _DIGITS), 16, 10).cast("long") / F.lit(float(1 << 4 * _DIGITS))
+    """A number in [0, 1) from a hash of ``parts``."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, _DIGITS), 16, 10).cast("long") / F.lit(float(1 << 4 * _DIGITS))
 
 
 def rates(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str = "source") -> DataFrame:
@@ -81,24 +80,24 @@ def replicate(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str
 
     Equal doc_ids draw equal numbers; rows without an id draw by their text. A rate above ``MOST_RATE`` stops the query.
     """
-    own = [c for c in docs.columns if c not in ("copy", "mix_key")]
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "mix_key")]).alias("doc")
     known = stored(rates(docs, mix, text, source), "rates")
     refused = F.raise_error(F.concat(F.lit("repetition rate too high: "), F.col("rate").cast("string")))
     steps = known.select(F.col("source").alias("_source"), F.when(F.col("rate") > MOST_RATE, refused).otherwise(_steps(F.col("rate"))).alias("_steps"))
     if known.count() <= SENT_SOURCES:
         steps = F.broadcast(steps)
-    row = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.col(f"`{text}`"))
+    name = lambda at: F.coalesce(F.col(f"{at}`{doc_id}`").cast("string"), F.col(f"{at}`{text}`"), F.lit("null"))
     drawn = F.size(F.filter("_steps", lambda c: c <= F.col("_u")))
     last = F.col("_n") - 1
     return (
-        docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{source}`").alias("_by"), _uniform(F.lit(mix.seed), row).alias("_u"))
+        docs.select(own, F.col(f"`{source}`").alias("_by"), _uniform(F.lit(mix.seed), name("")).alias("_u"))
         .join(steps, F.col("_by").eqNullSafe(F.col("_source")))
         .withColumn("_n", drawn)
         .where("_n > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("copy").cast("string"), F.coalesce(row, F.lit("null")))))
-        .select(*[F.col(f"`{c}`") for c in own], "copy", "mix_key", F.monotonically_increasing_id().alias("_tie"))
+        .withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(mix.seed), F.col("copy").cast("string"), name("doc."))))
+        .select("doc", "copy", "mix_key", F.monotonically_increasing_id().alias("_tie"))
         .repartitionByRange("mix_key", "_tie")
         .sortWithinPartitions("mix_key", "_tie")
-        .drop("_tie")
+        .select("doc.*", "copy", "mix_key")
     )

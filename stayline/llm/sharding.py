@@ -82,17 +82,16 @@ def number_at(shard: int, slot: int, n: int, shards: int, seed: int = 0) -> int:
     return int(Permutation(n, seed).inverse(np.array([slot * shards + shard]))[0])
 
 
-def assign(docs: DataFrame, order: tuple[str, ...] = ("doc_id", "text"), shards: int = 24, seed: int = 0) -> DataFrame:
+def assign(docs: DataFrame, order: tuple[str, ...] = ("doc_id",), shards: int = 24, seed: int = 0) -> DataFrame:
     """``docs`` with row_number, shard and slot (long, int, long); columns of these names are replaced.
 
-    Rows are numbered in the order of the columns ``order``, nulls first, then by hashes of all columns; rows
-    alike in all of them are interchangeable. Shards differ by one row at most, and slots run from 0 without
+    Rows are numbered in the order of the columns ``order`` (short ones: samples of them reach the driver), nulls first, then of a hash of
+    all columns; rows alike in all of them are interchangeable. Shards differ by one row at most, and slots run from 0 without
     gaps. The result depends on the rows and the seed alone, not on files, partitions or cores.
     """
-    own = [c for c in docs.columns if c not in ("row_number", "shard", "slot")]
-    every = [F.col(f"`{c}`") for c in own]
-    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order]
-    rows, n = numbered(docs.select(*every), *keys, F.xxhash64(*every), name="row_number")
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("row_number", "shard", "slot")]
+    keys = [F.col(f"doc.`{c}`").asc_nulls_first() for c in order]
+    rows, n = numbered(docs.select(F.struct(*own).alias("doc")), *keys, F.xxhash64("doc"), name="row_number")
 
     @F.arrow_udf("long")
     def permuted(numbers: pa.Array) -> pa.Array:
@@ -102,5 +101,5 @@ def assign(docs: DataFrame, order: tuple[str, ...] = ("doc_id", "text"), shards:
         rows.withColumn("_at", permuted("row_number"))
         .withColumn("shard", (F.col("_at") % shards).cast("int"))
         .withColumn("slot", F.expr(f"_at DIV {shards}"))
-        .drop("_at")
+        .select("doc.*", "row_number", "shard", "slot")
     )
