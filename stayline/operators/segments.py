@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import cut, finite_or_null, flags_to_int, safe_ratio, to_numeric
+from stayline.operators.brackets import Target, values_at_ranks
 from stayline.operators.ordering import at_ranks, slice_in_order
+from stayline.session import durable
 
 # Feature columns, segment names and bin edges of the reports.
 FLAG_COLUMNS = ("is_trial", "sub_is_trial", "auto_renew_flag", "upgrade_flag", "downgrade_flag")
@@ -61,25 +63,28 @@ def derive_features(master: DataFrame) -> DataFrame:
 def value_segment(df: DataFrame) -> DataFrame:
     """Equal-count thirds by MRR (missing counts as 0), ties ordered by ``account_id``.
 
-    Only the two boundary accounts are looked up; every row then compares itself with them. Rank r
-    of n is low while 3(r-1) < n-1 and mid while 3(r-1) < 2(n-1).
+    Only the two boundary accounts are looked up: first the amount at their rank, then, among the accounts of that
+    amount alone, the account. Every row then compares itself with them. Rank r of n is low while 3(r-1) < n-1 and mid
+    while 3(r-1) < 2(n-1).
     """
     if "mrr_amount" not in df.columns:
         return df.withColumn("value_segment", F.lit(UNKNOWN))
     mrr = F.coalesce(F.col("mrr_amount"), F.lit(0).cast(df.schema["mrr_amount"].dataType))
-    keys = df.select(mrr.alias("mrr"), "account_id", F.lit(1).alias("n"))
-    ends = at_ranks(
-        slice_in_order(keys, ["mrr", "account_id"]),
-        "n",
-        {"last_low": lambda total: f"floor(({total} + 1) / 3)", "last_mid": lambda total: f"floor(2 * {total} / 3)"},
-    )
-    ends = ends.select(F.struct("last_low", "last_mid").alias("ends")).scalar()
-    mine = F.struct(mrr.alias("mrr"), F.col("account_id"))
+    keys = durable(df.select(mrr.alias("mrr"), "account_id", F.lit(1).alias("n")), "amounts")
     low, mid, high = VALUE_LABELS
-    return df.withColumn(
-        "value_segment",
-        F.when(mine <= ends["last_low"], low).when(mine <= ends["last_mid"], mid).otherwise(high),
-    )
+    lasts = {low: (1 / 3, lambda n: (n + 1) // 3), mid: (2 / 3, lambda n: 2 * n // 3)}
+    n = keys.count()
+    targets = [
+        Target(label, F.col("mrr"), share, lambda n, rank=rank: (rank(n),)) for label, (share, rank) in lasts.items() if rank(n) > 0
+    ]
+    segment = F.lit(high)
+    for label, (hit,) in reversed(list(values_at_ranks(keys, targets).items() if targets else ())):
+        place = lasts[label][1](n) - hit.before
+        equal = slice_in_order(keys.filter(F.col("mrr") == F.lit(hit.value)), ["account_id"])
+        last = at_ranks(equal, "n", {"last": lambda total, place=place: str(place)}).first()["last"]["account_id"]
+        upto = (mrr < F.lit(hit.value)) | ((mrr == F.lit(hit.value)) & (F.col("account_id") <= F.lit(last)))
+        segment = F.when(upto, label).otherwise(segment)
+    return df.withColumn("value_segment", segment)
 
 
 def tenure_segment(df: DataFrame) -> DataFrame:

@@ -1,0 +1,40 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from stayline.operators.brackets import Found, Target, values_at_ranks
+from stayline.operators.segments import value_segment
+
+
+@pytest.mark.parametrize("kind", ["ties", "spread", "one", "few"])
+def test_values_at_ranks(spark, kind):
+    draw = random.Random(kind)
+    values = {
+        "ties": [draw.choice([0, 0, 0, 5, draw.randrange(90)]) for _ in range(20_000)],
+        "spread": [draw.randrange(1 << 50) for _ in range(20_000)],
+        "one": [7],
+        "few": [3, 1, 2, None, 2],
+    }[kind]
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(5)
+    kept = sorted(v for v in values if v is not None)
+    n = len(kept)
+    targets = [
+        Target(str(share), F.col("v"), share, lambda n, s=share: (max(1, int(n * s)), min(n, int(n * s) + 1))) for share in (0.0, 0.2, 1 / 3, 0.5, 1.0)
+    ]
+    found = values_at_ranks(df, [*targets, Target("none", F.lit(None).cast("long"), 0.5, lambda n: (1,))])
+    assert "none" not in found
+    for t in targets:
+        for rank, hit in zip(t.ranks(n), found[t.name]):
+            value = kept[rank - 1]
+            assert hit == Found(value, sum(v < value for v in kept), n)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 300])
+def test_thirds_with_a_third_on_one_amount(spark, n):
+    rows = [(f"a{i:04d}", None if i % 6 == 0 else 0 if i % 3 == 0 else i * 37 % 101) for i in range(n)]
+    df = spark.createDataFrame(rows, "account_id string, mrr_amount int").repartition(3)
+    got = {r.account_id: r.value_segment for r in value_segment(df).collect()}
+    for place, (key, _) in enumerate(sorted(rows, key=lambda r: (r[1] or 0, r[0]))):
+        want = "Low Value" if 3 * place < n - 1 else "Mid Value" if 3 * place < 2 * (n - 1) else "High Value"
+        assert got[key] == want, (n, place, key)

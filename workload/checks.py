@@ -9,11 +9,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.learning import churn_model, split
+from stayline.learning import churn_model, evaluation, split
 from stayline.operators import actions, segments
 from stayline.plans import kpis
 from stayline.plans.master import build_master
-from stayline.session import durable, shared_folder
+from stayline.session import durable, shared_folder, small_table
 from stayline.sources import sinks
 from stayline.sources.star_schema import business_tables
 from stayline.sources.tables import load_tables, preview, read_parquet_table
@@ -35,9 +35,14 @@ def _as_views(found: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """The master table of tables that were written as CSV and read by name."""
+    """The master table of tables that were written as CSV and read by name.
+
+    Ids are text there, so those that decide ties are written with leading zeros to keep their order.
+    """
     path = _new_folder(spark, "csv")
     for name, df in business_tables(spark, folder).items():
+        ids = [c for c in ("subscription_id", "churn_event_id") if c in df.columns]
+        df = df.withColumns({c: F.lpad(F.col(c).cast("string"), 19, "0") for c in ids})
         df.write.option("header", True).csv(f"{path}/t_{name}.csv")
     return _as_views(build_master(load_tables(spark, path, "csv", "t_"), AS_OF), spark, folder)
 
@@ -137,9 +142,47 @@ def encoded_features(spark: SparkSession, folder: str) -> DataFrame:
     return ready.select("account_id", pairs.alias("pair")).select("account_id", "pair.slot", F.round("pair.value", 6).alias("value"))
 
 
+def model_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """What must hold whatever the models find: (subject, check_name, value).
+
+    Held-out rows of each learner, the best one's area computed in two ways, probabilities in range, every account scored once with the priority of
+    its own probability, importances that add up and descend.
+    """
+    features = _derived(spark, folder)
+    comparison = churn_model.compare_models(features)
+    held_out = evaluation.roc_auc(comparison.held_out).first()["roc_auc"]
+    p = F.col("churn_probability")
+    outside = F.count_if(~p.between(0, 1) | p.isNull())
+    rows = [(r["model"], "held_out_rows", float(r["support"])) for r in comparison.summary.filter("class_name = 'accuracy'").collect()]
+    rows += [
+        ("best", "area_differs", round(abs(comparison.aucs[comparison.best] - held_out), 6)),
+        ("best", "is_not_largest", float(comparison.aucs[comparison.best] < max(comparison.aucs.values()))),
+        ("best", "outside_0_1", float(comparison.held_out.agg(outside).first()[0])),
+    ]
+    forest = max((churn_model.FOREST, churn_model.NO_BOOTSTRAP), key=comparison.aucs.get)
+    final = churn_model.refit(features, forest)
+    scored = durable(actions.add_priority(segments.add_segments(churn_model.score_accounts(features, final))), "scored")
+    risk = F.when((F.col("value_segment") == "High Value") & (p >= 0.60), "P1").when(
+        (F.col("value_segment") == "Mid Value") & (p >= 0.50), "P2"
+    ).when(p >= 0.40, "P3").otherwise("P4")
+    found = scored.agg(
+        F.count(F.lit(1)).alias("accounts"), F.count_distinct("account_id").alias("distinct_accounts"), outside.alias("outside_0_1"),
+        F.count_if(F.substring("retention_priority", 1, 2) != risk).alias("priority_differs"),
+    ).first()
+    rows += [("scored", name, float(found[name])) for name in ("accounts", "distinct_accounts", "outside_0_1", "priority_differs")]
+    every = [r["importance"] for r in churn_model.feature_importance(final, None).collect()]
+    top = [r["importance"] for r in churn_model.feature_importance(final).collect()]
+    rows += [
+        ("importance", "sum", round(sum(every), 6)),
+        ("importance", "top", float(len(top))),
+        ("importance", "top_differs", float(top != sorted(every, reverse=True)[:15])),
+    ]
+    return small_table(spark, rows, "subject string, check_name string, value double")
+
+
 CHECKS = (
     csv_round_trip, catalog_round_trip, scored_round_trip, actions_round_trip, master_preview, dirty_master,
-    dirty_reason_counts, dirty_churn_rate, split_rows, encoded_features,
+    dirty_reason_counts, dirty_churn_rate, split_rows, encoded_features, model_checks,
 )
 
 

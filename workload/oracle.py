@@ -354,6 +354,19 @@ def _modes() -> str:
     )
 
 
+def _model_checks() -> str:
+    """Expected values from the tables: the sizes, and zero for what must not differ."""
+    zero = [("best", "area_differs"), ("best", "is_not_largest"), ("best", "outside_0_1"), ("scored", "outside_0_1"), ("scored", "priority_differs"), ("importance", "top_differs")]
+    rows = [
+        f"SELECT '{m}' AS subject, 'held_out_rows' AS check_name, CAST((count(*) + 4) // 5 AS DOUBLE) AS value FROM master WHERE churn_flag IS NOT NULL"
+        for m in ("logistic_regression", "random_forest", "no_bootstrap_forest")
+    ]
+    rows += [f"SELECT '{s}', '{c}', 0.0::DOUBLE" for s, c in zero]
+    rows += [f"SELECT 'scored', '{c}', CAST(count(*) AS DOUBLE) FROM master" for c in ("accounts", "distinct_accounts")]
+    rows += ["SELECT 'importance', 'sum', 1.0::DOUBLE", "SELECT 'importance', 'top', 15.0::DOUBLE"]
+    return _on_master("\nUNION ALL ".join(rows))
+
+
 def _split_rows() -> str:
     sizes = _split_sizes().split("\nSELECT label, n, CAST", 1)[1]
     return _on_scored(
@@ -596,6 +609,7 @@ UNION ALL SELECT churn_probability, CAST(fp AS DOUBLE) / CAST(q AS DOUBLE), CAST
         "impute_median": _medians(),
         "impute_mode": _modes(),
         "split_rows": _split_rows(),
+        "model_checks": _model_checks(),
         "encoded_features": _encoded(),
         "master_preview": _on_master("SELECT * FROM master ORDER BY account_id LIMIT 3"),
         "csv_round_trip": _on_master(ROUND_TRIP),

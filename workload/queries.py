@@ -152,7 +152,7 @@ def _split_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _medians(spark: SparkSession, folder: str) -> DataFrame:
-    df = derived(spark, folder)
+    df = durable(derived(spark, folder), "features")
     return _rounded(imputation.medians(df, churn_model.numeric_features(df)), "median")
 
 
