@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from stayline.llm.storage import slices, stored
 
 RUN_BYTES = 4 << 20
-#: Lines of fewer words are never taken for repeats: "Yes." and "No." are one edit apart.
+#: Lines of fewer words are never taken for altered repeats: "Yes." and "No." are one edit apart.
 LEAST_WORDS = 5
 
 
@@ -120,23 +120,31 @@ def _with_possible_partner(uniq: DataFrame) -> DataFrame:
     return keyed.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, least_equal: int | None = None) -> DataFrame:
     """One row for each line that goes: doc_id, text_hash, line_no, kept_doc_id, kept_line_no, distance.
 
     A line goes if an earlier line is equal to it (distance 0) or within one word edit (1). Earlier means a smaller doc_id,
     null last, then a smaller hash of the text, then a smaller line number (from 0); the earliest such line is named, an equal one before
     others. A named line may itself go because of a line earlier still. Lines end at line feeds and are compared by their words, A-Z as a-z; lines of
-    fewer than ``least_words`` words (2 at least) stay, as do null and empty texts. Rows that repeat id and text count as one. Other columns are not read.
+    fewer than ``least_words`` words (2 at least) are not compared for an edit, and of fewer than ``least_equal`` words (``least_words`` if not
+    given, 1 at least) not for equality; null and empty texts stay. Rows that repeat id and text count as one. Other columns are not read.
     """
     least_words = max(2, least_words)
+    least_equal = least_words if least_equal is None else max(1, least_equal)
+    least = min(least_words, least_equal)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(f"`{text}`").alias("text_hash"), F.col(f"`{text}`").alias("text"))
     halves = [(k, pa.int64()) for k in ("p0", "s0", "p1", "s1")]
-    every = _lines(rows, least_words, halves, ", p0 long, s0 long, p1 long, s1 long", lambda line, words: half_keys(words))
+    # words, which equal lines share, counts up to least_words
+    kinds = [("words", pa.int32()), *halves]
+    every = _lines(
+        rows, least, kinds, ", words int, p0 long, s0 long, p1 long, s1 long",
+        lambda line, words: (min(len(words), max(least_words, least_equal)), *(half_keys(words) if len(words) >= least_words else (None,) * 4)),
+    )
     uniq = stored(
-        every.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), *[F.min(k).alias(k) for k, _ in halves]), "lines"
+        every.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), *[F.min(k).alias(k) for k, _ in kinds]), "lines"
     )
 
-    possible = stored(_with_possible_partner(uniq), "possible")
+    possible = stored(_with_possible_partner(uniq.where(F.col("words") >= least_words)), "possible")
     texts = _lines(rows, least_words, [("line", pa.binary())], ", line binary", lambda line, words: (line,))
     first = possible.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
     same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & _place().eqNullSafe(F.col("first"))
@@ -169,8 +177,8 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
     altered = verified.groupBy("h1", "h2").agg(F.min("first").alias("place"), F.min("partner.first").alias("kept"), F.lit(1).alias("distance"))
 
-    again = uniq.where(~F.col("first").eqNullSafe(F.col("last"))).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("kept"))
-    narrow = _lines(rows, least_words, [], "", lambda line, words: ())
+    again = uniq.where((F.col("words") >= least_equal) & ~F.col("first").eqNullSafe(F.col("last"))).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("kept"))
+    narrow = _lines(rows, least_equal, [], "", lambda line, words: ())
     equal = (
         narrow.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
         .select(_place().alias("place"), "kept", F.lit(0).alias("distance"))
@@ -182,9 +190,9 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
 
 
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = LEAST_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, least_equal: int | None = None) -> DataFrame:
     """``docs`` with the repeated lines taken out of the texts; every row stays, if need be with an empty text."""
-    gone = repeated_lines(docs, text, doc_id, least_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "line_no").distinct()
+    gone = repeated_lines(docs, text, doc_id, least_words, least_equal).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "line_no").distinct()
     drops = stored(gone.groupBy("_id", "_hash").agg(F.collect_list("line_no").alias("_drops")), "drops")
     parts = F.split(F.col("_text"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_drops"))

@@ -79,7 +79,7 @@ def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    gone = line_dedup.repeated_lines(_table(spark, folder, "documents"))
+    gone = line_dedup.repeated_lines(_table(spark, folder, "documents"), least_equal=1)
     return gone.select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "distance")
 
 

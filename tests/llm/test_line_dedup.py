@@ -76,3 +76,13 @@ def test_odd_rows(spark):
     assert got == {(1, 1): (1, 0, 0)}
     assert sorted(r["text"] for r in L.without_repeats(twice).collect()) == ["a b c d e f", "a b c d e f", "z z z z z z"]
     assert L.repeated_lines(docs.where("false")).count() == L.without_repeats(docs.where("false")).count() == 0
+
+
+def test_short_lines_repeat_if_equal(spark, tmp_path):
+    rows = [(1, "Yes.\nNo.\n\nall rights reserved"), (2, "yes.\nAll  rights reserved\nall rights kept"), (3, "a b c d e f"), (4, "a b c d e g\nNo.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    from stayline.llm.queries import queries
+
+    assert found(queries()["op10_line_dedup"](spark, str(tmp_path))) == {
+        (2, 0): (1, 0, 0), (2, 1): (1, 3, 0), (4, 0): (3, 0, 1), (4, 1): (1, 1, 0),
+    }
