@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import chat, decontaminate, fim, line_dedup, lm_scoring, mixing, quality, sharding, simhash, token_records, warc
+from stayline.llm import chat, decontaminate, divergence, fim, line_dedup, lm_scoring, mixing, neighbour_votes, quality, sharding, simhash, token_records, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,15 +83,24 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return gone.select("doc_id", "line_no", "kept_doc_id", "kept_line_no", "distance")
 
 
+def op11_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return neighbour_votes.classify(docs, _table(spark, folder, "labels")).drop("text")
+
+
 def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     made = fim.rearrange(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output", "output_sha256")
     return fim.restore(made).drop("output", "restored")
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_token_records, op2_decontaminate, op3_warc, op4_mix_sources, op5_simhash,
-        op6_lm_score, op7_quality_ledger, op8_rotate_chat, op9_shard, op10_line_dedup, op12_fill_in_middle,
+        op6_lm_score, op7_quality_ledger, op8_rotate_chat, op9_shard, op10_line_dedup, op11_quality_votes, op12_fill_in_middle, op13_source_divergence,
     )
     return {query.__name__: query for query in found}
