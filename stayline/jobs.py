@@ -12,6 +12,7 @@ from stayline.learning.churn_model import (
     feature_importance,
     refit,
     score_accounts,
+    score_out_of_fold,
 )
 from stayline.learning.evaluation import roc_curve
 from stayline.operators.actions import (
@@ -82,27 +83,31 @@ def _explore(spark: SparkSession, tables: dict[str, DataFrame], output: str, as_
 
 
 def score(
-    spark: SparkSession, output: str, settings: ModelSettings = ModelSettings(), work: str | None = None
+    spark: SparkSession, output: str, settings: ModelSettings = ModelSettings(), work: str | None = None, folds: int = 0
 ) -> None:
     """Train, choose, score every account of the stored master table and write what to do.
 
-    Intermediates lie below ``work`` (``output`` by default) while the job runs.
+    With ``folds`` (2 or more) every account also gets the score of a model that has not learnt from it. Intermediates lie below ``work`` (``output`` by default) while the job runs.
     """
     master = read_parquet_table(spark, f"{output}/{MASTER}")
     with work_folder(spark, work or output):
-        _score(spark, master, output, settings)
+        _score(spark, master, output, settings, folds)
 
 
-def _score(spark: SparkSession, master: DataFrame, output: str, settings: ModelSettings) -> None:
+def _score(spark: SparkSession, master: DataFrame, output: str, settings: ModelSettings, folds: int) -> None:
     features = durable(derive_features(master), "features")
     comparison = compare_models(features, settings=settings)
     write_small(comparison.summary, f"{output}/model_comparison")
     write_small(roc_curve(comparison.held_out), f"{output}/15_roc_curve")
     final = refit(features, comparison.best, settings=settings)
-    write_small(feature_importance(final), f"{output}/14_feature_importance")
+    write_small(feature_importance(spark, final), f"{output}/14_feature_importance")
     write_scored(add_priority(add_segments(score_accounts(features, final))), f"{output}/{SCORED}")
 
-    scored = spark.read.parquet(f"{output}/{SCORED}")
+    if folds > 1:
+        unseen = score_out_of_fold(features, comparison.best, folds=folds, settings=settings)
+        write_small(unseen.select("account_id", "fold", "churn_probability"), f"{output}/out_of_fold_scores")
+
+    scored = read_parquet_table(spark, f"{output}/{SCORED}")
     write_small(segment_counts(scored, "value_segment"), f"{output}/value_segment_counts")
     priorities = durable(by_priority(scored), "priorities")
     for chart, column in {

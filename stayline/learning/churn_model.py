@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
-from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import present
-from stayline.learning.evaluation import class_weights, classification_report, predict_class
+from stayline.learning import logistic, trees
+from stayline.learning.evaluation import class_weights, classification_report, predict_class, roc_auc
 from stayline.learning.imputation import medians, modes
 from stayline.learning.split import SEED, stratified_split
 from stayline.operators.segments import DERIVED_COLUMNS, FLAG_COLUMNS, NUMERIC_COLUMNS
@@ -25,7 +23,9 @@ from stayline.session import durable, small_table
 # The categorical features.
 CATEGORICAL_COLUMNS = ("industry", "country", "referral_source", "sub_plan_tier", "billing_frequency")
 
-LOGISTIC, FOREST, NO_BOOTSTRAP = "logistic_regression", "random_forest", "no_bootstrap_forest"
+LOGISTIC, FOREST, EXTRA_TREES = "logistic_regression", "random_forest", "extra_trees"
+
+Model = logistic.Fitted | trees.Ensemble
 
 
 @dataclass(frozen=True)
@@ -33,19 +33,13 @@ class ModelSettings:
     """Fixed values of the three learners; tests pass fewer trees."""
 
     max_iter: int = 3000
-    tolerance: float = 1e-4
+    tolerance: float = 1e-9
     penalty_c: float = 1.0
     forest_trees: int = 500
-    no_bootstrap_trees: int = 600
+    extra_trees: int = 600
     max_depth: int = 10
     min_leaf: int = 3
     seed: int = SEED
-    # Partitions of the training rows. Part of the model: another number draws other samples.
-    partitions: int = 16
-    # Node statistics of one pass: with more, fewer passes over the rows.
-    memory_mb: int = 1024
-    # Learners that are fitted at a time; each keeps its own copy of the training rows.
-    side_by_side: int = 3
 
 
 @dataclass(frozen=True)
@@ -131,67 +125,31 @@ def fit_features(train: DataFrame) -> Features:
     return Features(fill, numeric, categorical, Pipeline(stages=stages).fit(filled))
 
 
-def with_weights(rows: DataFrame) -> DataFrame:
-    """Add the balanced class weight ``w``."""
-    return rows.join(F.broadcast(class_weights(rows).select("label", F.col("weight").alias("w"))), "label")
-
+def learners(settings: ModelSettings) -> dict[str, Callable[[DataFrame, int], Model]]:
+    """The learners in the order in which they win ties; each takes prepared rows and the number of features.
 
-def estimators(settings: ModelSettings, weight_sum: float) -> dict[str, Estimator]:
-    """The learners in the order in which they win ties."""
-    columns = {"featuresCol": "features", "labelCol": "label", "weightCol": "w"}
-    forest = {
-        **columns,
-        "maxDepth": settings.max_depth,
-        "minInstancesPerNode": settings.min_leaf,
-        "featureSubsetStrategy": "sqrt",
-        "seed": settings.seed,
-        "maxMemoryInMB": settings.memory_mb,
-    }
+    Forests balance the classes by each tree's own draws, extra trees by the rows, logistic regression by row weights.
+    """
+    shape = {"max_depth": settings.max_depth, "min_leaf": settings.min_leaf, "seed": settings.seed}
     return {
-        LOGISTIC: LogisticRegression(
-            **columns,
-            maxIter=settings.max_iter,
-            tol=settings.tolerance,
-            # MLlib averages the loss over the weights, a C penalty is set against their sum
-            regParam=1.0 / (settings.penalty_c * weight_sum),
-            elasticNetParam=0.0,
-            standardization=False,
-        ),
-        FOREST: RandomForestClassifier(**forest, numTrees=settings.forest_trees),
-        # stands in for randomised trees, which MLlib lacks: every tree sees every row
-        NO_BOOTSTRAP: RandomForestClassifier(
-            **forest, numTrees=settings.no_bootstrap_trees, bootstrap=False, subsamplingRate=1.0
-        ),
+        LOGISTIC: lambda rows, n: logistic.fit(rows, n, settings.penalty_c, settings.max_iter, settings.tolerance),
+        FOREST: lambda rows, n: trees.grow(rows, n, trees.forest(settings.forest_trees, **shape)),
+        EXTRA_TREES: lambda rows, n: trees.grow(rows, n, trees.extra_trees(settings.extra_trees, **shape)),
     }
 
 
-def _prepared(rows: DataFrame, features: Features, keep: Sequence[str], settings: ModelSettings, name: str) -> DataFrame:
-    """Stored training rows in a layout that depends on the keys alone.
-
-    Learners draw samples and sum up partition by partition. Rows are therefore dealt by a hash of
-    their key into a fixed number of partitions and sorted there, whatever files and cores they came from.
-    """
-    stored = durable(features.apply(with_weights(rows), [*keep, "label", "w"]), name)
-    return stored.repartition(settings.partitions, *keep).sortWithinPartitions(*keep)
-
-
-def _weight_sum(rows: DataFrame) -> float:
-    return rows.agg(F.sum("w")).first()[0]
-
-
-def _fit_all(learners: dict[str, Estimator], train: DataFrame, at_once: int) -> dict[str, Model]:
-    """Fit the learners side by side: each spends much of its time between jobs."""
-    spark = train.sparkSession
-
-    def fit(name: str) -> Model:
-        return inheritable_thread_target(spark)(lambda: learners[name].fit(train))()
-
-    with ThreadPool(at_once) as pool:
-        return dict(zip(learners, pool.map(fit, learners)))
+def _prepared(rows: DataFrame, features: Features, keep: Sequence[str], name: str) -> DataFrame:
+    """Stored training rows (row_hash, label, cells, weight), dealt by a hash of their key."""
+    weights = durable(class_weights(rows), "weights")  # one row for each class
+    n = sum(r["n"] for r in weights.collect())
+    ready = features.apply(rows, [*keep, "label"]).join(F.broadcast(weights.select("label", "weight")), "label")
+    return durable(trees.training_rows(ready, n, F.struct(*keep), F.col("label"), vector_to_array("features"), F.col("weight")), name)
 
 
 def score(model: Model, prepared: DataFrame) -> DataFrame:
-    return model.transform(prepared).withColumn("churn_probability", vector_to_array("probability")[1])
+    """Add ``churn_probability``: a narrow pass, the model is sent along."""
+    predicted = logistic.predicted if isinstance(model, logistic.Fitted) else trees.predicted
+    return predicted(model, prepared, vector_to_array("features"), "churn_probability")
 
 
 def compare_models(features: DataFrame, key: str = "account_id", settings: ModelSettings = ModelSettings()) -> Comparison:
@@ -203,27 +161,26 @@ def compare_models(features: DataFrame, key: str = "account_id", settings: Model
     rows = durable(stratified_split(labelled(features), key), "split")
     train, test = rows.filter(~F.col("is_test")), rows.filter(F.col("is_test"))
     fitted = fit_features(train)
-    train_rows = _prepared(train, fitted, [key], settings, "train")
-    test_rows = durable(fitted.apply(test, [key, "label"]), "test")
-    evaluator = BinaryClassificationEvaluator(
-        labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC", numBins=0
-    )
+    test_rows = fitted.apply(test, [key, "label"])
+    n = len(feature_names(test_rows))
+    train_rows, test_rows = _prepared(train, fitted, [key], "train"), durable(test_rows, "test")
     aucs: dict[str, float] = {}
     scores: dict[str, DataFrame] = {}
     reports: list[tuple] = []
-    for name, model in _fit_all(estimators(settings, _weight_sum(train_rows)), train_rows, settings.side_by_side).items():
-        scored = score(model, test_rows)
-        scores[name] = durable(scored.select(key, "label", "churn_probability", "probability"), "held-out")
-        aucs[name] = evaluator.evaluate(scores[name])
+    for name, learn in learners(settings).items():
+        scored = score(learn(train_rows, n), test_rows)
+        scores[name] = durable(scored.select(key, "label", "churn_probability"), "held-out")
+        aucs[name] = roc_auc(scores[name]).first()["roc_auc"]
         for line in classification_report(predict_class(scores[name])).collect():  # five rows
             reports.append((name, aucs[name], *line))
-    best = max(aucs, key=aucs.get)
+    # an area is unknown where a class has no held-out row
+    best = max(aucs, key=lambda name: -1.0 if aucs[name] is None else aucs[name])
     summary = small_table(
         features.sparkSession,
         reports,
         "model string, roc_auc double, class_name string, precision double, recall double, f1_score double, support bigint",
     ).withColumn("is_best", F.col("model") == best)
-    return Comparison(summary, best, aucs, scores[best].drop("probability"))
+    return Comparison(summary, best, aucs, scores[best])
 
 
 @dataclass(frozen=True)
@@ -233,21 +190,20 @@ class FinalModel:
     name: str
     model: Model
     features: Features
-    prepared: DataFrame = field(repr=False)
+    names: list[str]
 
 
 def refit(features: DataFrame, name: str, key: str = "account_id", settings: ModelSettings = ModelSettings()) -> FinalModel:
     rows = durable(labelled(features), "labelled")
     fitted = fit_features(rows)
-    prepared = _prepared(rows, fitted, [key], settings, "all")
-    model = estimators(settings, _weight_sum(prepared))[name].fit(prepared)
-    return FinalModel(name, model, fitted, prepared)
+    names = feature_names(fitted.apply(rows, []))
+    return FinalModel(name, learners(settings)[name](_prepared(rows, fitted, [key], "all"), len(names)), fitted, names)
 
 
 def score_accounts(features: DataFrame, final: FinalModel, key: str = "account_id") -> DataFrame:
     """Add ``churn_probability`` to every account: a narrow pass, with no join back.
 
-    The model has seen these accounts, so the scores are optimistic.
+    The model has seen these accounts, so the scores are optimistic; ``score_out_of_fold`` gives others.
     """
     ready = final.features.encoder.transform(
         _filled(features, final.features.fill, final.features.numeric, final.features.categorical, features.columns)
@@ -255,6 +211,30 @@ def score_accounts(features: DataFrame, final: FinalModel, key: str = "account_i
     return score(final.model, ready).select(*features.columns, "churn_probability")
 
 
+def fold_of(key: Column, folds: int, seed: int = SEED) -> Column:
+    """The fold of an account, from a seeded hash of its key; a missing key has fold 0."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"fold {seed}:"), key.cast("string"))), 1, 15)
+    return F.coalesce(F.conv(digits, 16, 10).cast("long") % folds, F.lit(0)).cast("int")
+
+
+def fold_parts(features: DataFrame, key: str, folds: int, seed: int = SEED) -> list[tuple[DataFrame, DataFrame]]:
+    """For each fold its accounts and those of all other folds: filters on stored rows with a ``fold`` column."""
+    dealt = durable(features.withColumn("fold", fold_of(F.col(key), folds, seed)), "folds")
+    return [(dealt.filter(F.col("fold") == k), dealt.filter(F.col("fold") != k)) for k in range(folds)]
+
+
+def score_out_of_fold(
+    features: DataFrame, name: str, key: str = "account_id", folds: int = 5, settings: ModelSettings = ModelSettings()
+) -> DataFrame:
+    """Add ``fold`` and ``churn_probability``, that of a model which has learnt from the other folds alone.
+
+    Every account is scored, labelled or not, and accounts that repeat a key share a fold. The parts are put together again
+    without a join; replacement values and category codes are those of the other folds too.
+    """
+    parts = fold_parts(features, key, folds, settings.seed)
+    return reduce(DataFrame.unionByName, [score_accounts(own, refit(others, name, key, settings)) for own, others in parts])
+
+
 def feature_names(prepared: DataFrame) -> list[str]:
     """Names of the vector slots, in order."""
     groups = prepared.schema["features"].metadata["ml_attr"]["attrs"]
@@ -262,12 +242,11 @@ def feature_names(prepared: DataFrame) -> list[str]:
     return [slot["name"] for slot in slots]
 
 
-def feature_importance(final: FinalModel, n: int | None = 15) -> DataFrame:
-    """The most important features of a forest, largest first; no rows for other learners."""
-    spark = final.prepared.sparkSession
+def feature_importance(spark: SparkSession, final: FinalModel, n: int | None = 15) -> DataFrame:
+    """The most important features of an ensemble of trees, largest first; no rows for other learners."""
     schema = "feature string, importance double"
-    if final.name not in (FOREST, NO_BOOTSTRAP):
+    if not isinstance(final.model, trees.Ensemble):
         return small_table(spark, [], schema)
-    named = zip(feature_names(final.prepared), final.model.featureImportances.toArray().tolist())
+    named = zip(final.names, final.model.importance.tolist())
     ranked = small_table(spark, list(named), schema).orderBy(F.desc("importance"), "feature")
     return ranked if n is None else ranked.limit(n)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.operators.brackets import Target, values_at_ranks
+from stayline.operators.selection import Target, values_at_ranks
 from stayline.session import small_table
 
 
@@ -34,7 +34,7 @@ def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         return (n + 1) // 2, n // 2 + 1
 
     finite = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    found = values_at_ranks(df, [Target(c, value, 0.5, middle) for c, value in finite.items()])
+    found = values_at_ranks(df, [Target(c, value, middle) for c, value in finite.items()])
     rows = [(name, (low.value + high.value) / 2) for name, (low, high) in found.items()]
     return small_table(df.sparkSession, rows, "feature string, median double")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stayline.operators.brackets import Target, values_at_ranks
+from stayline.operators.ordering import keys_at_places
+from stayline.operators.selection import Target, values_at_ranks
 from stayline.session import durable
 
 TEST_PARTS, ALL_PARTS = 1, 5  # one fifth is held out
@@ -38,23 +39,22 @@ def held_out_sizes(labelled: DataFrame) -> DataFrame:
 def stratified_split(labelled: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     """Add ``is_test``: exact class sizes, the rows chosen by a seeded hash of the key.
 
-    Within a class the rows with the lowest hashes are held out, equal hashes in the order of the key. Only the last held-out
-    row of each class is looked up, so a class of any size never meets in one task.
+    Within a class the rows with the lowest hashes are held out, equal hashes in the order of the key, and rows that repeat a key
+    stay together. Only the last held-out row of each class is looked up, so a class of any size never meets in one task.
     """
     digits = F.substring(F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string"))), 1, 15)
     drawn = labelled.withColumn("draw", F.conv(digits, 16, 10).cast("long"))
     keys = durable(drawn.select("label", "draw", key), "draws")
     # one row per class
     sizes = {str(r["label"]): r for r in held_out_sizes(keys).collect() if r["test"]}
-    targets = [
-        Target(name, F.when(F.col("label") == r["label"], F.col("draw")), r["test"] / r["n"], lambda n, last=r["test"]: (last,))
-        for name, r in sizes.items()
-    ]
+    targets = [Target(name, F.when(F.col("label") == r["label"], F.col("draw")), lambda n, last=r["test"]: (last,)) for name, r in sizes.items()]
+    found = {name: hit for name, (hit,) in values_at_ranks(keys, targets).items()}
+    # draws that rows inside and rows outside share
+    shared = {name: sizes[name]["test"] - hit.before for name, hit in found.items() if hit.before + hit.equal > sizes[name]["test"]}
+    lasts = keys_at_places(keys, key, {name: ((F.col("label") == sizes[name]["label"]) & (F.col("draw") == found[name].value), place) for name, place in shared.items()})
     is_test = F.lit(False)
-    for name, (hit,) in values_at_ranks(keys, targets).items():
-        label, missing = sizes[name]["label"], sizes[name]["test"] - hit.before
-        equal = keys.filter((F.col("label") == label) & (F.col("draw") == hit.value)).select(key)
-        last = equal.orderBy(key).limit(missing).agg(F.max(key)).first()[0]
-        within = (F.col("draw") < hit.value) | ((F.col("draw") == hit.value) & (F.col(key) <= F.lit(last)))
-        is_test = F.when(F.col("label") == label, within).otherwise(is_test)
+    for name, hit in found.items():
+        equal = F.col(key) <= F.lit(lasts[name]) if name in lasts else F.lit(True)
+        within = (F.col("draw") < hit.value) | ((F.col("draw") == hit.value) & equal)
+        is_test = F.when(F.col("label") == sizes[name]["label"], within).otherwise(is_test)
     return drawn.withColumn("is_test", is_test).drop("draw")

@@ -114,6 +114,22 @@ def at_ranks(sliced: Sliced, weight: str, ranks: dict[str, Rank]) -> DataFrame:
     return near.groupBy(*sliced.group_by).agg(*found, F.max(total).alias(total))
 
 
+def keys_at_places(df: DataFrame, key: str, wanted: dict[str, tuple[Column, int]]) -> dict[str, object]:
+    """Under each name, the key at a place (from 1) among the rows that meet a condition, all names in one range exchange.
+
+    Conditions may overlap. A key counts as often as it occurs; copies are counted first.
+    """
+    if not wanted:
+        return {}
+    name = F.array(*[F.when(condition, F.lit(at)) for at, (condition, _) in enumerate(wanted.values())])
+    rows = df.select(F.explode(F.filter(name, lambda n: n.isNotNull())).alias("_wanted"), F.col(key).alias("_key"))
+    counted = rows.groupBy("_wanted", "_key").agg(F.count(F.lit(1)).alias("n"))
+    places = {str(at): (lambda total, p=place: str(p)) for at, (_, place) in enumerate(wanted.values())}
+    found = at_ranks(slice_in_order(counted, ["_key"], ["_wanted"]), "n", places).collect()
+    by_name = {r["_wanted"]: r[str(r["_wanted"])]["_key"] for r in found}
+    return {label: by_name[at] for at, label in enumerate(wanted)}
+
+
 def quantiles(sliced: Sliced, weight: str, shares: dict[str, Fraction]) -> DataFrame:
     """Exact quantiles of the one order column, linear between neighbours; one row per group."""
     (value,) = sliced.order_by

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions.columns import cut, finite_or_null, flags_to_int, safe_ratio, to_numeric
-from stayline.operators.brackets import Target, values_at_ranks
-from stayline.operators.ordering import at_ranks, slice_in_order
+from stayline.operators.ordering import keys_at_places
+from stayline.operators.selection import Target, values_at_ranks
 from stayline.session import durable
 
 # Feature columns, segment names and bin edges of the reports.
@@ -70,19 +70,18 @@ def value_segment(df: DataFrame) -> DataFrame:
     if "mrr_amount" not in df.columns:
         return df.withColumn("value_segment", F.lit(UNKNOWN))
     mrr = F.coalesce(F.col("mrr_amount"), F.lit(0).cast(df.schema["mrr_amount"].dataType))
-    keys = durable(df.select(mrr.alias("mrr"), "account_id", F.lit(1).alias("n")), "amounts")
+    keys = durable(df.select(mrr.alias("mrr"), "account_id"), "amounts")
     low, mid, high = VALUE_LABELS
-    lasts = {low: (1 / 3, lambda n: (n + 1) // 3), mid: (2 / 3, lambda n: 2 * n // 3)}
-    n = keys.count()
-    targets = [
-        Target(label, F.col("mrr"), share, lambda n, rank=rank: (rank(n),)) for label, (share, rank) in lasts.items() if rank(n) > 0
-    ]
+    lasts = {low: lambda n: (n + 1) // 3, mid: lambda n: 2 * n // 3}
+    targets = [Target(label, F.col("mrr"), lambda n, rank=rank: (rank(n),) if rank(n) else ()) for label, rank in lasts.items()]
+    found = {label: hits[0] for label, hits in values_at_ranks(keys, targets).items() if hits}
+    # amounts that accounts on both sides of a boundary share
+    shared = {label: lasts[label](hit.total) - hit.before for label, hit in found.items() if hit.before + hit.equal > lasts[label](hit.total)}
+    accounts = keys_at_places(keys, "account_id", {label: (F.col("mrr") == F.lit(found[label].value), place) for label, place in shared.items()})
     segment = F.lit(high)
-    for label, (hit,) in reversed(list(values_at_ranks(keys, targets).items() if targets else ())):
-        place = lasts[label][1](n) - hit.before
-        equal = slice_in_order(keys.filter(F.col("mrr") == F.lit(hit.value)), ["account_id"])
-        last = at_ranks(equal, "n", {"last": lambda total, place=place: str(place)}).first()["last"]["account_id"]
-        upto = (mrr < F.lit(hit.value)) | ((mrr == F.lit(hit.value)) & (F.col("account_id") <= F.lit(last)))
+    for label, hit in reversed(found.items()):
+        equal = F.col("account_id") <= F.lit(accounts[label]) if label in accounts else F.lit(True)
+        upto = (mrr < F.lit(hit.value)) | ((mrr == F.lit(hit.value)) & equal)
         segment = F.when(upto, label).otherwise(segment)
     return df.withColumn("value_segment", segment)
 

@@ -92,13 +92,8 @@ def usage_summary(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
             F.count_if("is_beta_feature").alias("beta"),
         )
     )
-    # one exchange on the join key: the accounts of a subscription, in practice one
-    owner = (
-        subscriptions.filter(F.col("subscription_id").isNotNull() & F.col("account_id").isNotNull())
-        .groupBy("subscription_id")
-        .agg(F.collect_set("account_id").alias("owners"))
-        .select("subscription_id", F.explode("owners").alias("account_id"))
-    )
+    pairs = subscriptions.filter(F.col("subscription_id").isNotNull() & F.col("account_id").isNotNull())
+    owner = pairs.select("subscription_id", "account_id").distinct()
     return (
         per_feature.join(owner, "subscription_id")
         .groupBy("account_id")

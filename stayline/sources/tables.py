@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from stayline.functions.columns import nan_to_null
 from stayline.schemas import TABLES
+from stayline.sources import records
+from stayline.sources.sinks import current
 
 
 # Cell texts that CSV readers of the pandas family take as "no value".
@@ -46,22 +48,29 @@ def read_csv_table(
     spark: SparkSession,
     path: str,
     schema: T.StructType,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     missing: tuple[str, ...] = MISSING_MARKERS,
 ) -> DataFrame:
-    """CSV with a header line. Values are read as text and cast by name, with no inference pass."""
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line)
+    """CSV with a header line. Values are read as text and cast by name, with no inference pass.
+
+    Files are split among tasks, line breaks inside quotes or not. Whether there are any is looked up in one pass over the
+    lines; ``multi_line`` true or false saves that pass.
+    """
+    reader = spark.read.option("header", True).option("escape", '"')
     try:
         raw = reader.csv(path)
     except AnalysisException as error:
         raise MissingInput(f"Missing file: {path}") from error
+    if multi_line or (multi_line is None and records.has_broken_lines(spark, path)):
+        raw = records.parsed(records.records(spark, path), raw.columns)
     raw = raw.select([F.when(~F.col(c).isin(*missing), F.col(c)).alias(c) for c in raw.columns])
     return nan_to_null(conform(raw, schema))
 
 
 def read_parquet_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, or the newest version of one that was written here."""
     try:
-        return nan_to_null(spark.read.parquet(path))
+        return nan_to_null(spark.read.parquet(current(spark, path)))
     except AnalysisException as error:
         raise MissingInput(f"Missing file: {path}") from error
 
@@ -73,24 +82,15 @@ def read_catalog_table(spark: SparkSession, name: str) -> DataFrame:
         raise MissingInput(f"Missing table: {name}") from error
 
 
-def load_tables(
-    spark: SparkSession, location: str, fmt: str = "csv", prefix: str = "", multi_line: tuple[str, ...] = ()
-) -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, location: str, fmt: str = "csv", prefix: str = "") -> dict[str, DataFrame]:
     """The five tables as ``<location>/<prefix><table>.<fmt>``, or ``<location>.<prefix><table>``
-    for ``fmt="catalog"``.
-
-    CSV files are split over tasks. ``multi_line`` names tables whose quoted cells hold line breaks; such a
-    file is read by one task.
-    """
+    for ``fmt="catalog"``."""
     if fmt == "catalog":
         return {t: read_catalog_table(spark, f"{location}.{prefix}{t}") for t in TABLES}
     if fmt == "parquet":
         return {t: read_parquet_table(spark, f"{location}/{prefix}{t}.parquet") for t in TABLES}
     if fmt == "csv":
-        return {
-            t: read_csv_table(spark, f"{location}/{prefix}{t}.csv", s, multi_line=t in multi_line)
-            for t, s in TABLES.items()
-        }
+        return {t: read_csv_table(spark, f"{location}/{prefix}{t}.csv", s) for t, s in TABLES.items()}
     raise ValueError(f"unknown format {fmt!r}")
 
 

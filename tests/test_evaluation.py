@@ -40,9 +40,28 @@ def test_auc_of_one_class_is_unknown(spark):
 def test_roc_points(spark):
     rows = [(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1), (1, 0.1), (0, None), (None, 0.5)]
     got = [tuple(r) for r in E.roc_curve(frame(spark, rows)).orderBy("fpr", "tpr").collect()]
-    assert got == [
-        (float("inf"), 0.0, 0.0), (0.9, 0.0, pytest.approx(1 / 3)), (0.8, 0.5, pytest.approx(2 / 3)), (0.1, 1.0, 1.0),
-    ]
+    # both later scores take one of each class: their point in the middle lies on a straight line
+    assert got == [(float("inf"), 0.0, 0.0), (0.9, 0.0, pytest.approx(1 / 3)), (0.1, 1.0, 1.0)]
+
+
+def test_roc_points_with_a_bend(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.1), (0, 0.1), (1, 0.1)]
+    got = [tuple(r) for r in E.roc_curve(frame(spark, rows)).orderBy("fpr", "tpr").collect()]
+    thirds = [pytest.approx(k / 3) for k in range(4)]
+    assert got == [(float("inf"), 0.0, 0.0), (0.9, 0.0, thirds[1]), (0.8, thirds[1], thirds[2]), (0.1, 1.0, 1.0)]
+
+
+def test_straight_lines_go_on_across_slices(spark):
+    """One row of each class at every score but one: only the ends and the bend stay, wherever slices end."""
+    rows = [(y, k / 1000) for k in range(1000) for y in (0, 1)] + [(1, 0.5)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = frame(spark, rows)
+        assert E._by_score(df).rows.select("_slice").distinct().count() > 1
+        got = sorted((r.fpr, r.tpr, r.threshold) for r in E.roc_curve(df).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [p[2] for p in got] == [float("inf"), 0.999, 0.501, 0.5, 0.0]
 
 
 def test_threshold_is_inclusive(spark):

@@ -5,10 +5,11 @@ import pytest
 from stayline import jobs
 from stayline.learning.churn_model import ModelSettings
 from stayline.operators.actions import ACTION_COLUMNS
+from stayline.sources.sinks import current
 from stayline.sources.star_schema import business_tables
 from stayline.sources.tables import MissingInput
 
-FEW = ModelSettings(max_iter=20, forest_trees=4, no_bootstrap_trees=4, max_depth=3)
+FEW = ModelSettings(max_iter=20, forest_trees=4, extra_trees=4, max_depth=3)
 
 
 def test_score_needs_the_master_table(spark, tmp_path):
@@ -25,8 +26,8 @@ def test_all_jobs_end_to_end(spark, folder, tmp_path):
 
     assert not list(tmp_path.glob("_work*"))
     n = tables["accounts"].count()
-    master = spark.read.parquet(f"{out}/master_table")
-    scored = spark.read.parquet(f"{out}/master_with_predictions")
+    master = spark.read.parquet(current(spark, f"{out}/master_table"))
+    scored = spark.read.parquet(current(spark, f"{out}/master_with_predictions"))
     assert (master.count(), len(master.columns)) == (n, 36)
     assert (scored.count(), len(scored.columns)) == (n, 50)  # 49 and the partition column
     assert {p.name for p in tmp_path.glob("report_*")} == {
@@ -35,9 +36,9 @@ def test_all_jobs_end_to_end(spark, folder, tmp_path):
     }
     charts = {p.name[:2] for p in tmp_path.iterdir() if p.name[:2].isdigit()}
     assert charts == {f"{i:02d}" for i in range(1, 16)}
-    counts = spark.read.parquet(f"{out}/11_retention_priority_distribution").collect()
+    counts = spark.read.parquet(current(spark, f"{out}/11_retention_priority_distribution")).collect()
     assert len(counts) == 4 and sum(r.accounts for r in counts) == n
-    actions = spark.read.option("header", True).csv(f"{out}/retention_actions")
+    actions = spark.read.option("header", True).csv(current(spark, f"{out}/retention_actions"))
     assert actions.columns == [*ACTION_COLUMNS, "recommended_action"]
     top = [float(r.churn_probability) for r in actions.collect()]
     assert len(top) == 20 and top == sorted(top, reverse=True)

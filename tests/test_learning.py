@@ -10,7 +10,7 @@ from stayline.learning.split import held_out_sizes, stratified_split
 from stayline.session import durable
 from workload.queries import derived
 
-FEW = M.ModelSettings(max_iter=30, forest_trees=5, no_bootstrap_trees=4, max_depth=3)
+FEW = M.ModelSettings(max_iter=30, forest_trees=5, extra_trees=4, max_depth=3)
 
 
 @pytest.fixture(scope="module")
@@ -73,7 +73,7 @@ def test_unseen_category_is_all_zeros_and_empty_feature_is_dropped(spark):
 
 
 def test_comparison(comparison):
-    assert list(comparison.aucs) == [M.LOGISTIC, M.FOREST, M.NO_BOOTSTRAP]
+    assert list(comparison.aucs) == [M.LOGISTIC, M.FOREST, M.EXTRA_TREES]
     assert comparison.aucs[comparison.best] == max(comparison.aucs.values())
     summary = comparison.summary.collect()
     assert len(summary) == 15 and {r.model for r in summary if r.is_best} == {comparison.best}
@@ -81,11 +81,11 @@ def test_comparison(comparison):
 
 
 def test_same_seed_same_forest(features):
-    one, two = (M.refit(features, M.FOREST, settings=FEW).model.featureImportances.toArray() for _ in range(2))
+    one, two = (M.refit(features, M.FOREST, settings=FEW).model.importance for _ in range(2))
     assert np.allclose(one, two)
 
 
-@pytest.mark.parametrize("name", [M.FOREST, M.NO_BOOTSTRAP, M.LOGISTIC])
+@pytest.mark.parametrize("name", [M.FOREST, M.EXTRA_TREES, M.LOGISTIC])
 def test_training_does_not_depend_on_files(spark, features, tmp_path, name):
     found = []
     for files, parallel in ((1, "1"), (9, "5")):
@@ -102,20 +102,20 @@ def test_training_does_not_depend_on_files(spark, features, tmp_path, name):
     assert np.allclose([found[0][k] for k in found[0]], [found[1][k] for k in found[0]], rtol=0, atol=1e-9)
 
 
-@pytest.mark.parametrize("name", [M.LOGISTIC, M.FOREST, M.NO_BOOTSTRAP])
-def test_every_account_is_scored_once(features, name):
+@pytest.mark.parametrize("name", [M.LOGISTIC, M.FOREST, M.EXTRA_TREES])
+def test_every_account_is_scored_once(spark, features, name):
     final = M.refit(features, name, settings=FEW)
     scored = M.score_accounts(features, final)
     assert scored.columns == [*features.columns, "churn_probability"]
     assert scored.count() == features.count() == scored.select("account_id").distinct().count()
     assert scored.filter("churn_probability between 0 and 1").count() == features.count()
-    importance = M.feature_importance(final).collect()
+    importance = M.feature_importance(spark, final).collect()
     if name == M.LOGISTIC:
         assert importance == []
     else:
         values = [r.importance for r in importance]
         assert len(values) == 15 and values == sorted(values, reverse=True)
-        everything = M.feature_importance(final, None).collect()
+        everything = M.feature_importance(spark, final, None).collect()
         assert sum(r.importance for r in everything) == pytest.approx(1.0)
         names = {r.feature for r in everything}
         assert "num__tenure_days" in names and any(n.startswith("cat__industry_") for n in names)
@@ -125,5 +125,5 @@ def test_the_models_find_a_planted_signal(spark):
     r = random.Random(1)
     rows = [(f"{i:04d}", t := r.randrange(100), r.randrange(9), t + r.randrange(-20, 20) > 60) for i in range(600)]
     df = spark.createDataFrame(rows, "account_id string, ticket_count int, seats int, churn_flag boolean")
-    found = M.compare_models(df, settings=M.ModelSettings(max_iter=30, forest_trees=5, no_bootstrap_trees=4, max_depth=5))
+    found = M.compare_models(df, settings=M.ModelSettings(max_iter=30, forest_trees=5, extra_trees=4, max_depth=5))
     assert min(found.aucs.values()) > 0.9

@@ -61,7 +61,9 @@ def test_slices_of_explicit_partitions(spark):
         assert sliced.rows.select("_slice").distinct().count() > 1
         got = running_totals(sliced, ["n"]).filter("n_through <> id + 1 or n_total <> 1000").count()
         assert got == 0
-        found = at_ranks(sliced, "n", {"first": "1", "mid": "floor(total / 2)", "none": "total + 1"}).first()
+        found = at_ranks(
+            sliced, "n", {"first": lambda total: "1", "mid": lambda total: f"floor({total} / 2)", "none": lambda total: f"{total} + 1"}
+        ).first()
         assert (found["first"].id, found["mid"].id, found["none"]) == (0, 499, None)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -1,9 +1,12 @@
 import datetime
+import re
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from stayline.operators.summaries import latest_subscription
+from stayline.plans.master import build_master
 from stayline.plans.reports import all_reports
 from stayline.schemas import SUPPORT_TICKETS, TABLES
 from stayline.sources import sinks
@@ -67,7 +70,7 @@ def test_quoted_line_breaks_in_feedback(spark, tmp_path):
         (tmp_path / f"x_{name}.csv").write_text(",".join(schema.fieldNames()) + "\n")
     with open(tmp_path / "x_churn_events.csv", "a") as f:
         f.write('e1,a,2024-03-01,pricing,12.50,False,False,True,"too ""dear"",\nsorry"\n')
-    tables = load_tables(spark, str(tmp_path), prefix="x_", multi_line=("churn_events",))
+    tables = load_tables(spark, str(tmp_path), prefix="x_")
     (row,) = tables["churn_events"].collect()
     assert row.feedback_text == 'too "dear",\nsorry'
     assert row.refund_amount_usd == Decimal("12.50") and row.churn_date == datetime.date(2024, 3, 1)
@@ -109,13 +112,62 @@ def test_reports_also_run_as_sql_over_views(spark, folder):
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "P1 — x"), ("b", "P4 — y")], "account_name string, retention_priority string")
     sinks.write_scored(df, f"{tmp_path}/scored")
-    again = spark.read.parquet(f"{tmp_path}/scored").filter("priority_class = 'P4'")
+    again = spark.read.parquet(sinks.current(spark, f"{tmp_path}/scored")).filter("priority_class = 'P4'")
     assert [r.account_name for r in again.collect()] == ["b"]
     sinks.write_actions(df, f"{tmp_path}/actions")
-    (part,) = (tmp_path / "actions").glob("part-*")
+    (part,) = (tmp_path / "actions").glob("v*/part-*")
     assert part.read_text(encoding="utf-8").splitlines()[0] == "account_name,retention_priority"
     for fmt in ("parquet", "csv"):
         sinks.write_master(df, f"{tmp_path}/m_{fmt}", fmt)
         sinks.write_master(df, f"{tmp_path}/m_{fmt}", fmt)
-        assert spark.read.option("header", True).format(fmt).load(f"{tmp_path}/m_{fmt}").count() == 2
+        assert spark.read.option("header", True).format(fmt).load(sinks.current(spark, f"{tmp_path}/m_{fmt}")).count() == 2
     assert preview(df, 1).count() == 1
+
+
+def test_a_failing_write_leaves_the_earlier_table(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    good = spark.range(10)
+    sinks.write_small(good, path)
+    # fails in the last of several tasks, when others have written their files
+    broken = spark.range(0, 1000, 1, 4).withColumn("x", F.when(F.col("id") == 999, F.raise_error("lost")).otherwise(F.lit("1")))
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_small(broken, path)
+    assert read_parquet_table(spark, path).count() == 10
+    sinks.write_small(spark.range(20), path)
+    assert read_parquet_table(spark, path).count() == 20
+
+
+def test_readers_and_versions(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    sinks.write_small(spark.range(1), path)
+    begun = read_parquet_table(spark, path)
+    for n in range(2, 5):
+        sinks.write_small(spark.range(n), path)
+        # one more write does not take the files from a reader that has begun
+        assert begun.count() == n - 1
+        begun = read_parquet_table(spark, path)
+    assert len(list((tmp_path / "t").glob("v*"))) == 2
+    plain = f"{tmp_path}/plain"
+    spark.range(3).write.parquet(plain)
+    assert sinks.current(spark, plain) == plain and read_parquet_table(spark, plain).count() == 3
+
+
+def test_bucketed_tables_join_without_exchange(spark, folder):
+    tables = business_tables(spark, folder)
+    spark.sql("CREATE DATABASE bucketed")
+    sinks.write_bucketed(tables, "bucketed", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        as_of = datetime.date(1997, 1, 1)
+        master = build_master(load_tables(spark, "bucketed", "catalog"), as_of)
+        plan = master._jdf.queryExecution().executedPlan().toString()
+        moved = sorted(re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan))
+        # usage alone moves, and the pairs of subscription and account that it is joined to
+        assert moved[:2] == ["account_id", "account_id, feature_name"] and all(keys.startswith("subscription_id") for keys in moved[2:])
+        assert plan.count("SortMergeJoin") >= 4
+        plain = build_master(tables, as_of)
+        assert len(re.findall(r"Exchange hashpartitioning\(account_id#", plain._jdf.queryExecution().executedPlan().toString())) > 3
+        assert master.exceptAll(plain.select(master.columns)).count() == 0 and master.count() == plain.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.learning import churn_model, evaluation, split
+from stayline.learning import churn_model, evaluation, logistic, split
 from stayline.operators import actions, segments
 from stayline.plans import kpis
 from stayline.plans.master import build_master
@@ -70,14 +70,14 @@ def _prioritised(spark: SparkSession, folder: str) -> DataFrame:
 def scored_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = _new_folder(spark, "scored")
     sinks.write_scored(_prioritised(spark, folder), path)
-    return spark.read.parquet(path).select("account_id", "churn_probability", "retention_priority", "priority_class")
+    return spark.read.parquet(sinks.current(spark, path)).select("account_id", "churn_probability", "retention_priority", "priority_class")
 
 
 def actions_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     path = _new_folder(spark, "actions")
     top = actions.top_accounts(_prioritised(spark, folder))
     sinks.write_actions(top, path)
-    return spark.read.schema(top.schema).option("header", True).csv(path)
+    return spark.read.schema(top.schema).option("header", True).csv(sinks.current(spark, path))
 
 
 def master_preview(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,7 +159,7 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
         ("best", "is_not_largest", float(comparison.aucs[comparison.best] < max(comparison.aucs.values()))),
         ("best", "outside_0_1", float(comparison.held_out.agg(outside).first()[0])),
     ]
-    forest = max((churn_model.FOREST, churn_model.NO_BOOTSTRAP), key=comparison.aucs.get)
+    forest = max((churn_model.FOREST, churn_model.EXTRA_TREES), key=comparison.aucs.get)
     final = churn_model.refit(features, forest)
     scored = durable(actions.add_priority(segments.add_segments(churn_model.score_accounts(features, final))), "scored")
     risk = F.when((F.col("value_segment") == "High Value") & (p >= 0.60), "P1").when(
@@ -170,8 +170,8 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
         F.count_if(F.substring("retention_priority", 1, 2) != risk).alias("priority_differs"),
     ).first()
     rows += [("scored", name, float(found[name])) for name in ("accounts", "distinct_accounts", "outside_0_1", "priority_differs")]
-    every = [r["importance"] for r in churn_model.feature_importance(final, None).collect()]
-    top = [r["importance"] for r in churn_model.feature_importance(final).collect()]
+    every = [r["importance"] for r in churn_model.feature_importance(spark, final, None).collect()]
+    top = [r["importance"] for r in churn_model.feature_importance(spark, final).collect()]
     rows += [
         ("importance", "sum", round(sum(every), 6)),
         ("importance", "top", float(len(top))),
@@ -180,9 +180,41 @@ def model_checks(spark: SparkSession, folder: str) -> DataFrame:
     return small_table(spark, rows, "subject string, check_name string, value double")
 
 
+def logistic_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    """The logistic learner on two features, classes balanced, every account with both: (slot, weight), the constant penalised too."""
+    slots = ("seats", "ticket_count")
+    rows = churn_model.labelled(_derived(spark, folder)).dropna(subset=list(slots))
+    weights = evaluation.class_weights(rows).select("label", "weight")
+    cells = F.array(*[F.col(c).cast("double") for c in slots]).alias("cells")
+    ready = durable(rows.join(F.broadcast(weights), "label").select("label", "weight", cells), "logistic")
+    found = logistic.fit(ready, len(slots)).weights
+    named = [(name, round(float(w), 6)) for name, w in zip((*slots, "constant"), found)]
+    return small_table(spark, named, "slot string, weight double")
+
+
+def out_of_fold_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """For each fold: accounts, accounts trained on, accounts in both, and accounts without a probability from 0 to 1."""
+    features, folds = _derived(spark, folder), 5
+    scored = durable(churn_model.score_out_of_fold(features, churn_model.LOGISTIC, folds=folds), "out-of-fold")
+    p = F.col("churn_probability")
+    by_fold = scored.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("accounts"), F.count_if(p.isNull() | ~p.between(0, 1)).alias("outside_0_1")
+    )
+    trained = None
+    for k, (own, others) in enumerate(churn_model.fold_parts(features, "account_id", folds)):
+        seen = churn_model.labelled(others).select("account_id", F.lit(1).alias("seen"))
+        held = own.select("account_id", F.lit(1).alias("held"))
+        row = seen.join(held, "account_id", "full").agg(
+            F.lit(k).alias("fold"), F.count("seen").alias("trained_on"), F.count_if(F.col("seen").isNotNull() & F.col("held").isNotNull()).alias("in_both")
+        )
+        trained = row if trained is None else trained.unionByName(row)
+    return by_fold.join(trained, "fold")
+
+
 CHECKS = (
     csv_round_trip, catalog_round_trip, scored_round_trip, actions_round_trip, master_preview, dirty_master,
     dirty_reason_counts, dirty_churn_rate, split_rows, encoded_features, model_checks,
+    logistic_coefficients, out_of_fold_checks,
 )
 
 

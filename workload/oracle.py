@@ -359,7 +359,7 @@ def _model_checks() -> str:
     zero = [("best", "area_differs"), ("best", "is_not_largest"), ("best", "outside_0_1"), ("scored", "outside_0_1"), ("scored", "priority_differs"), ("importance", "top_differs")]
     rows = [
         f"SELECT '{m}' AS subject, 'held_out_rows' AS check_name, CAST((count(*) + 4) // 5 AS DOUBLE) AS value FROM master WHERE churn_flag IS NOT NULL"
-        for m in ("logistic_regression", "random_forest", "no_bootstrap_forest")
+        for m in ("logistic_regression", "random_forest", "extra_trees")
     ]
     rows += [f"SELECT '{s}', '{c}', 0.0::DOUBLE" for s, c in zero]
     rows += [f"SELECT 'scored', '{c}', CAST(count(*) AS DOUBLE) FROM master" for c in ("accounts", "distinct_accounts")]
@@ -367,6 +367,51 @@ def _model_checks() -> str:
     return _on_master("\nUNION ALL ".join(rows))
 
 
+def _logistic(steps: int = 14) -> str:
+    """Newton's method, one step after the other: sums over the accounts, then the solution of three equations."""
+    parts = [
+        """
+rows_of AS (
+  SELECT CAST(seats AS DOUBLE) AS x1, CAST(ticket_count AS DOUBLE) AS x2, CASE WHEN churn_flag THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y,
+    CAST(count(*) OVER () AS DOUBLE) / (2 * count(*) OVER (PARTITION BY churn_flag)) AS w
+  FROM derived WHERE churn_flag IS NOT NULL AND seats IS NOT NULL AND ticket_count IS NOT NULL
+),
+n0 AS (SELECT 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3)"""
+    ]
+    for k in range(1, steps + 1):
+        parts.append(
+            f"""
+s{k} AS (
+  SELECT any_value(b1) AS b1, any_value(b2) AS b2, any_value(b3) AS b3, any_value(b1) - sum(w * y * m * x1) AS g1, any_value(b2) - sum(w * y * m * x2) AS g2,
+    any_value(b3) - sum(w * y * m) AS g3, 1 + sum(w * m * (1 - m) * x1 * x1) AS a, sum(w * m * (1 - m) * x1 * x2) AS b, sum(w * m * (1 - m) * x1) AS c,
+    1 + sum(w * m * (1 - m) * x2 * x2) AS d, sum(w * m * (1 - m) * x2) AS e, 1 + sum(w * m * (1 - m)) AS f
+  FROM (SELECT *, 1 / (1 + exp(y * (b1 * x1 + b2 * x2 + b3))) AS m FROM rows_of, n{k - 1})
+),
+n{k} AS MATERIALIZED (
+  SELECT b1 - ((d * f - e * e) * g1 + (c * e - b * f) * g2 + (b * e - c * d) * g3) / det AS b1,
+    b2 - ((c * e - b * f) * g1 + (a * f - c * c) * g2 + (b * c - a * e) * g3) / det AS b2,
+    b3 - ((b * e - c * d) * g1 + (b * c - a * e) * g2 + (a * d - b * b) * g3) / det AS b3
+  FROM (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s{k})
+)"""
+        )
+    return _on_master(
+        f"SELECT 'seats' AS slot, round(b1, 6) AS weight FROM n{steps} UNION ALL SELECT 'ticket_count', round(b2, 6) FROM n{steps} "
+        f"UNION ALL SELECT 'constant', round(b3, 6) FROM n{steps}",
+        DERIVED,
+        *parts,
+    )
+
+
+def _out_of_fold() -> str:
+    return _on_master(
+        """SELECT fold, count(*) AS accounts, 0::BIGINT AS outside_0_1,
+  CAST((SELECT count(*) FROM folds o WHERE o.churn_flag IS NOT NULL AND o.fold <> f.fold) AS BIGINT) AS trained_on, 0::BIGINT AS in_both
+FROM folds f GROUP BY fold""",
+        """
+folds AS (SELECT churn_flag, CAST(('0x' || md5('fold 42:' || account_id)[1:15])::BIGINT % 5 AS INTEGER) AS fold FROM master)""",
+    )
+
+
 def _split_rows() -> str:
     sizes = _split_sizes().split("\nSELECT label, n, CAST", 1)[1]
     return _on_scored(
@@ -610,6 +655,8 @@ UNION ALL SELECT churn_probability, CAST(fp AS DOUBLE) / CAST(q AS DOUBLE), CAST
         "impute_mode": _modes(),
         "split_rows": _split_rows(),
         "model_checks": _model_checks(),
+        "logistic_coefficients": _logistic(),
+        "out_of_fold_checks": _out_of_fold(),
         "encoded_features": _encoded(),
         "master_preview": _on_master("SELECT * FROM master ORDER BY account_id LIMIT 3"),
         "csv_round_trip": _on_master(ROUND_TRIP),

@@ -185,8 +185,8 @@ def scored_accounts(spark: SparkSession, folder: str) -> DataFrame:
 def _feature_importance(spark: SparkSession, folder: str) -> DataFrame:
     """Of the better forest, whichever learner is best of all."""
     features, comparison = _trained(spark, folder)
-    forest = max((churn_model.FOREST, churn_model.NO_BOOTSTRAP), key=comparison.aucs.get)
-    return churn_model.feature_importance(churn_model.refit(features, forest))
+    forest = max((churn_model.FOREST, churn_model.EXTRA_TREES), key=comparison.aucs.get)
+    return churn_model.feature_importance(spark, churn_model.refit(features, forest))
 
 
 def _model_actions(spark: SparkSession, folder: str) -> DataFrame:
