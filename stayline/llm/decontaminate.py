@@ -4,7 +4,8 @@ A test item of n words may be altered in k words (inserted, deleted or replaced)
 least one piece must occur unaltered, so an exact search for all pieces finds every place worth
 checking, and the distance of the item to the text around it is then computed word-wise with Myers'
 bit vectors. Words are runs of letters, digits and underscores in lower case, so case, punctuation and line breaks
-do not hide a passage.
+do not hide a passage; in scripts written without blanks every character is a word. A short item has no budget: it is one piece,
+which must occur as it is.
 """
 
 from __future__ import annotations
@@ -21,17 +22,20 @@ from pyspark.sql import functions as F
 
 from stayline.llm.storage import slices, stored
 
-_WORD = re.compile(r"\w+")
+# Scripts written without blanks between words (Thai to Tibetan, Myanmar, Khmer, kana, Han and its extensions).
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{UNSPACED}]|[^\\W{UNSPACED}]+")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``budget_percent`` of an item's words may be altered, rounded down. Items with fewer than ``least_words`` words are
-    too common to tell a leak and are not looked for. A pass over the documents looks for items of ``pass_bytes``
+    """``budget_percent`` of an item's words may be altered, rounded down, but none of an item with fewer than ``altered_words``
+    words. Items with fewer than ``least_words`` words are not looked for: by default every item with a word is. A pass over the documents looks for items of ``pass_bytes``
     together; more items take more passes. Documents are searched in runs of ``run_bytes``."""
 
     budget_percent: int = 20
-    least_words: int = 8
+    altered_words: int = 8
+    least_words: int = 1
     pass_bytes: int = 4 << 20
     run_bytes: int = 4 << 20
 
@@ -91,9 +95,9 @@ class Searcher:
         self.items, self.found_in = [], defaultdict(list)
         for item_id, text in items:
             words = words_of(text)
-            if len(words) < settings.least_words:
+            if len(words) < max(1, settings.least_words):
                 continue
-            budget = len(words) * settings.budget_percent // 100
+            budget = len(words) * settings.budget_percent // 100 if len(words) >= settings.altered_words else 0
             for start, piece in pieces(words, budget):
                 self.found_in[f" {' '.join(piece)} "].append((len(self.items), start, len(piece)))
             self.items.append((item_id, words, budget, bit_masks(words)))

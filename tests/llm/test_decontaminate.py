@@ -68,10 +68,9 @@ def test_altered_passages(spark, pass_bytes):
     want = {}
     for k, text in enumerate(texts):
         for i, item in enumerate(items):
-            if len(item) >= settings.least_words:
-                distance = plain_distance(item, D.words_of(text))
-                if distance <= len(item) // 5:
-                    want[k, i] = distance
+            distance = plain_distance(item, D.words_of(text))
+            if distance <= (len(item) // 5 if len(item) >= settings.altered_words else 0):
+                want[k, i] = distance
     assert found == want and len({d for d in want.values()}) > 3
     kept = D.without_leaks(docs, bench, settings)
     assert kept.columns == docs.columns
@@ -88,3 +87,19 @@ def test_long_text_and_empty_tables(spark):
     none, no_items = docs.where("false"), bench.where("false")
     assert D.find_leaks(none, bench).count() == D.find_leaks(docs, no_items).count() == D.without_leaks(none, bench).count() == 0
     assert D.without_leaks(docs, no_items).count() == 1
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    chinese, japanese, thai = "法国的首都是哪座城市请回答问题", "日本の首都はどこですか", "เมืองหลวงของฝรั่งเศสคืออะไร"
+    items = [(1, "What is the capital of France?"), (2, chinese), (3, japanese), (4, thai), (5, "Paris"), (6, "..."), (7, None)]
+    texts = {
+        1: "So: what is, the capital of FRANCE - he asked", 2: "what is the big capital of France", 3: f"前文{chinese}后文", 4: f"x {chinese[:5]}新{chinese[5:]} y",
+        5: f"「{japanese}」", 6: f"a{thai}b", 7: "parisian", 8: "in Paris.", 9: chinese[:12], 10: "",
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["distance"], r["budget"]) for r in D.find_leaks(docs, bench).collect()}
+    assert found == {(1, 1): (0, 0), (3, 2): (0, 3), (4, 2): (1, 3), (9, 2): (3, 3), (5, 3): (0, 2), (6, 4): (0, 5), (8, 5): (0, 0)}
+    longer = D.find_leaks(docs, bench, D.Settings(least_words=2))
+    assert {r["item_id"] for r in longer.collect()} == {1, 2, 3, 4}
+    assert D.words_of("Ab中文cd_1 é") == ["ab", "中", "文", "cd_1", "é"]
