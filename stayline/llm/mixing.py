@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from stayline.llm.storage import stored
 
-#: Rates above this are refused: exp(-rate) must stay well above the smallest double.
-MOST_RATE = 500.0
+#: A greater rate is drawn as the sum of draws of at most this rate each: exp(-rate) must stay well above the smallest double.
+DRAW_RATE = 500.0
 #: Up to this many sources (one name and one number each) the rates are sent to every task.
 SENT_SOURCES = 10_000
 #: A uniform number has 52 random bits.
@@ -78,16 +78,21 @@ def replicate(docs: DataFrame, mix: Mix = Mix(), text: str = "text", source: str
     """The mixed documents in shuffled order: every row of ``docs`` as often as drawn, with copy (from 0) and
     mix_key (hash that orders the mix). Columns of ``docs`` with these names are replaced.
 
-    Equal doc_ids draw equal numbers; rows without an id draw by their text. A rate above ``MOST_RATE`` stops the query.
+    Equal doc_ids draw equal numbers; rows without an id draw by their text. A rate above ``DRAW_RATE`` is a sum of independent
+    draws of equal parts of it, which is Poisson too, so a source of one byte beside a large corpus gets its many copies. Null
+    and empty texts are repeated like others. An empty table gives no rows.
     """
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "mix_key")]).alias("doc")
     known = stored(rates(docs, mix, text, source), "rates")
-    refused = F.raise_error(F.concat(F.lit("repetition rate too high: "), F.col("rate").cast("string")))
-    steps = known.select(F.col("source").alias("_source"), F.when(F.col("rate") > MOST_RATE, refused).otherwise(_steps(F.col("rate"))).alias("_steps"))
+    parts = F.greatest(F.ceil(F.col("rate") / DRAW_RATE), F.lit(1)).cast("int")
+    steps = known.select(F.col("source").alias("_source"), parts.alias("_parts"), _steps(F.col("rate") / parts).alias("_steps"))
     if known.count() <= SENT_SOURCES:
         steps = F.broadcast(steps)
     name = lambda at: F.coalesce(F.col(f"{at}`{doc_id}`").cast("string"), F.col(f"{at}`{text}`"), F.lit("null"))
-    drawn = F.size(F.filter("_steps", lambda c: c <= F.col("_u")))
+    count = lambda u: F.size(F.filter("_steps", lambda c: c <= u))
+    part_of = lambda k: _uniform(F.lit(mix.seed), F.lit("part"), k.cast("string"), name("doc."))
+    summed = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, k: n + count(part_of(k)))
+    drawn = F.when(F.col("_parts") == 1, count(F.col("_u"))).otherwise(summed)
     last = F.col("_n") - 1
     return (
         docs.select(own, F.col(f"`{source}`").alias("_by"), _uniform(F.lit(mix.seed), name("")).alias("_u"))

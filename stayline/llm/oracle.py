@@ -58,18 +58,23 @@ totals AS (SELECT sum(weight::DECIMAL(38, 12))::DOUBLE AS weight, sum(bytes) AS
 rates AS (
   SELECT source, round(w.weight / t.weight * t.bytes / w.bytes, 9) AS rate FROM weights w, totals t
 ),
+parts AS (SELECT source, greatest(ceil(rate / 500), 1)::INTEGER AS n, rate / greatest(ceil(rate / 500), 1) AS rate FROM rates),
 steps AS (
-  SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM (
-    SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM rates, range(0, 60) AS r(k))
+  SELECT source, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM (
+    SELECT source, k, exp(-rate + k * ln(rate) - lgamma(k + 1)) AS p FROM parts, range(0, 1000) AS r(k) WHERE k <= rate + 12 * sqrt(rate) + 40)
+),
+named AS (
+  SELECT *, row_number() OVER () AS r, coalesce(doc_id::VARCHAR, text, 'null') AS who FROM documents
 ),
 drawn AS (
-  SELECT d.*, coalesce(doc_id::VARCHAR, text) AS who,
-    ('0x' || md5('mix-1:' || coalesce(doc_id::VARCHAR, text, 'null'))[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u
-  FROM documents d
+  SELECT r, d.source, j, ('0x' || md5(CASE WHEN n = 1 THEN 'mix-1:' || who ELSE 'mix-1:part:' || j || ':' || who END)[1:13])::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM named d JOIN parts p ON p.source IS NOT DISTINCT FROM d.source, LATERAL (SELECT unnest(range(1, n + 1)) AS j)
+),
+copies AS (
+  SELECT r, count(*) AS n FROM drawn d JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u GROUP BY r
 )
-SELECT doc_id, text, lang, d.source, n_chars, k::INTEGER AS copy,
-  md5('mix-1:' || k::INTEGER || ':' || coalesce(who, 'null')) AS mix_key
-FROM drawn d JOIN steps s ON s.source IS NOT DISTINCT FROM d.source AND s.c <= d.u
+SELECT doc_id, text, lang, source, n_chars, k::INTEGER AS copy, md5('mix-1:' || k::INTEGER || ':' || who) AS mix_key
+FROM named JOIN copies USING (r), LATERAL (SELECT unnest(range(0, copies.n)) AS k)
 """
 
 

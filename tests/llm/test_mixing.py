@@ -3,7 +3,6 @@
 import hashlib
 import math
 
-import pytest
 from pyspark.sql import functions as F
 
 from stayline.llm import mixing
@@ -57,10 +56,38 @@ def test_target_shares(spark):
         assert abs(counts[source] / total - weight / 10) < 0.01
 
 
-def test_rate_limit_and_empty_table(spark):
+def test_large_rates(spark):
+    """A source of one byte beside a large one is drawn in parts, as the SQL has it."""
+    docs = spark.createDataFrame([(1, "", "x"), (None, None, "y")], "doc_id long, text string, source string")
+    large = spark.range(4).select(F.col("id") + 10, F.repeat(F.lit("b"), 2000), F.lit("z"))
+    mix = Mix(weights=(("x", 3.0), ("y", 1.0)))
+    found = mixing.replicate(docs.union(large), mix).collect()
+    rate = {r["source"]: r["rate"] for r in mixing.rates(docs.union(large), mix).collect()}
+    assert rate["x"] > 6000 and 2000 < rate["y"] < 2002 and rate["z"] == 0
+    for source, who in (("x", 1), ("y", "null")):
+        parts = math.ceil(rate[source] / 500)
+        want = sum(poisson(rate[source] / parts, uniform("mix-1", f"part:{k}:{who}")) for k in range(1, parts + 1))
+        assert sorted(r["copy"] for r in found if r["source"] == source) == list(range(want)) and abs(want / rate[source] - 1) < 0.1
+    assert len({r["mix_key"] for r in found}) == len(found)
+
+
+def test_large_rates_in_sql(spark, tmp_path):
+    import duckdb
+
+    from compare import duck_rows, spark_rows
+    from stayline.llm.oracle import oracle_sql
+    from stayline.llm.queries import queries
+
+    rows = [(1, "", "en", "tiny", 0), (2, None, None, None, None)] + [(10 + i, "word " * 30_000, "en", f"s{i % 12}", 9) for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert mixing.rates(spark.read.parquet(f"{tmp_path}/documents.parquet")).agg({"rate": "max"}).first()[0] > 100
+    assert spark_rows(queries()["op4_mix_sources"](spark, str(tmp_path))) == duck_rows(con, oracle_sql()["op4_mix_sources"])
+
+
+def test_steps_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a", "x"), (2, "b" * 9000, "y")], "doc_id long, text string, source string")
-    with pytest.raises(Exception, match="repetition rate too high"):
-        mixing.replicate(docs, Mix(weights=(("x", 1.0),))).collect()
     assert mixing.replicate(docs.where("false")).count() == 0
     steps = docs.select(mixing._steps(F.lit(400.0)).alias("s")).first()["s"]
     assert len(steps) == 681 and abs(steps[-1] - 1) < 1e-12 and abs(steps[400] - 0.5) < 0.03
