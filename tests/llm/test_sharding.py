@@ -1,5 +1,8 @@
 """The permutation and the shards it makes."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -48,3 +51,41 @@ def test_few_rows_and_empty_table(spark):
     (row,) = sharding.assign(docs).collect()
     assert (row["row_number"], row["shard"], row["slot"]) == (0, 0, 0)
     assert sharding.assign(docs.where("false")).count() == 0
+
+
+def plain_place(number, n, shards, seed=0):
+    """Shard and slot of a row number by the network written out in whole numbers."""
+    mask64 = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask64
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask64
+        return x ^ x >> 31
+
+    bits = 1
+    while 4**bits < n:
+        bits += 1
+    keys = [mixed((seed + (k + 1) * 0x9E3779B97F4A7C15) & mask64) for k in range(6)]
+    at = number
+    while True:
+        left, right = at >> bits, at & (1 << bits) - 1
+        for key in keys:
+            left, right = right, left ^ mixed(right + key & mask64) & (1 << bits) - 1
+        at = left << bits | right
+        if at < n:
+            return at % shards, at // shards
+
+
+def test_registered_query(spark, folder):
+    from stayline.llm.queries import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries()["op9_shard"](spark, folder).collect()
+    assert rows[0].__fields__[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and len(rows) == len(texts)
+    number = {doc_id: k for k, doc_id in enumerate(sorted(texts))}
+    for r in rows:
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 8, zlib.crc32(data), "rows", None)
+        assert (r.shard, r.slot) == plain_place(number[r.doc_id], len(texts), 24)
+    sizes = Counter(r.shard for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(24))
