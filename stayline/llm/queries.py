@@ -64,7 +64,8 @@ def op7_quality_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_rotate_chat(spark: SparkSession, folder: str) -> DataFrame:
     rotated = chat.rotate(_table(spark, folder, "conversations"))
-    return rotated.select("conv_id", "perspective", "part", "n_messages", "text", chat.spans_text().alias("target_spans"))
+    places = ("conv_id", "perspective", "part", "at_turn", "piece", "n_messages", "opening_chars")
+    return rotated.select(*places, "text", chat.spans_text().alias("target_spans"))
 
 
 def op9_shard(spark: SparkSession, folder: str) -> DataFrame:
