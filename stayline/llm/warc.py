@@ -109,8 +109,9 @@ def _header_value(text: str | None) -> bytes:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in text or "").encode()
 
 
-def _page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, settings: Settings) -> bytes:
-    """A response record, or a revisit record if ``refers_to`` names the page that holds the payload."""
+def _page_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, settings: Settings, copy: int = 0) -> bytes:
+    """A response record, or a revisit record if ``refers_to`` names the page that holds the payload. ``copy`` counts the rows
+    of this page, address and payload before it, so that every record has an id of its own."""
     hexed = hashlib.sha1(payload).hexdigest()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + _CRLF + _CRLF
     revisit = refers_to is not None
@@ -118,7 +119,7 @@ def _page_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     kind = b"revisit" if revisit else b"response"
     fields = [
         (b"WARC-Type", kind),
-        (b"WARC-Record-ID", _record_id(kind, page_id, url, hexed)),
+        (b"WARC-Record-ID", _record_id(kind, page_id, url, hexed, *([copy] if copy else []))),
         (b"WARC-Date", settings.date.encode()),
         (b"WARC-Target-URI", _header_value(url)),
         (b"WARC-Payload-Digest", _sha1(payload)),
@@ -187,7 +188,8 @@ class _Roll:
 def _write(batches: Iterator[pa.RecordBatch], folder: str, settings: Settings) -> Iterator[pa.RecordBatch]:
     """Write sorted rows (shard, page_id, digest, is_page, url, html, refers_to). A row that is no page says that the pages of
     its id and digest behind it repeat the payload of page ``refers_to``."""
-    roll = said = held = None
+    roll = said = held = last = None
+    copy = 0
     for batch in batches:
         columns = [batch.column(k) for k in range(batch.num_columns)]
         columns[5] = columns[5].cast(pa.binary())
@@ -205,7 +207,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, settings: Settings) -
             if target is not None and target == page_id:
                 # this page id holds the payload itself; of repeated rows the first is the response
                 target, held = (page_id if held == (page_id, digest) else None), (page_id, digest)
-            roll.add(_page_record(page_id, url, html or b"", target, settings))
+            kind = target is None
+            copy = copy + 1 if last == (page_id, digest, url, kind) else 0
+            last = (page_id, digest, url, kind)
+            roll.add(_page_record(page_id, url, html or b"", target, settings, copy))
     if roll is not None:
         roll.end()
         yield from _described(roll)
@@ -223,10 +228,10 @@ def repeated_payloads(pages: DataFrame, least_bytes: int) -> DataFrame:
     """page_id, digest, refers_to for the pages whose payload occurs more than once; refers_to is the largest of their ids.
 
     ``pages`` has page_id, digest and size. Payloads are first counted, so a payload that a third of all pages
-    share is one row; pages without an id are left out.
+    share is one row. A page without an id repeats one with an id, but none repeats it: there is nothing to refer to.
     """
-    large = pages.where((F.col("size") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    many = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    large = pages.where(F.col("size") >= least_bytes).select("page_id", "digest")
+    many = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
     return large.join(many, "digest").select("page_id", "digest", "refers_to").distinct()
 
 
@@ -235,7 +240,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, settings: Settings =
 
     A null html is an empty payload, a null url an empty target. Of pages with equal payloads of at least
     ``least_bytes`` the one with the largest id holds the payload and the others are revisits; of rows that repeat this page, the first.
-    Pages without an id come first and are responses. Other columns are not read. No pages give no archive and a manifest.
+    Pages without an id come first; they are revisits of a page with an id and the same payload, and responses where there is none. Other columns are not read. No pages give no archive and a manifest.
     """
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")

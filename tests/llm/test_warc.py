@@ -12,7 +12,7 @@ SMALL = warc.Settings(shard_bytes=6000, roll_bytes=2500)
 BIG, OTHER = "<p>é" + "x" * 1200, "<p>" + "yz " * 900
 ROWS = [
     (5, "http://a/5", BIG), (9, "http://a/9", BIG), (2, "http://a/2", BIG), (7, "http://a/7", OTHER), (7, "http://a/7", OTHER), (8, None, "short"),
-    (10, "http://a/10\r\nX: y", "short"), (11, "http://a/11", None), (12, "", ""), (None, "http://n", BIG), (None, None, None), (3, "http://a/3", OTHER),
+    (10, "http://a/10\r\nX: y", "short"), (11, "http://a/11", None), (12, "", ""), (None, "http://n", BIG), (None, "http://n", BIG), (None, None, "alone" * 400), (None, None, "alone" * 400), (None, None, None), (8, None, "short"), (3, "http://a/3", OTHER),
     (-4, "http://a/m", "\r\n\r\nbody\r\n\r\n" * 300), (1 << 62, "http://far", "z" * 999), (9, "http://a/9b", "q" * 5000), (13, "u", "Line\n" * 20000),
 ]
 
@@ -25,7 +25,7 @@ def expected(rows):
     out, held = [], set()
     for page_id, _, html in rows:
         data = (html or "").encode()
-        keeper = largest.get(html) if page_id is not None else None
+        keeper = largest.get(html)
         revisit = keeper is not None and (keeper != page_id or (page_id, html) in held)
         held.add((page_id, html))
         out.append((page_id, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", keeper if revisit else None))
@@ -56,14 +56,15 @@ def test_files(spark, tmp_path):
     assert listed["records"] == len(ROWS) and len(listed["files"]) > 3
     assert sorted(p.name for p in folder.glob("*.gz")) == [f["name"] for f in listed["files"]]
     assert not list((folder / "_temporary").iterdir())
-    ids = []
+    ids, names = [], []
     for f in listed["files"]:
         data = (folder / f["name"]).read_bytes()
         assert len(data) == f["bytes"] and hashlib.sha1(data).hexdigest() == f["sha1"]
         text = gzip.decompress(data)
         assert text.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo")
         ids += [int(line.split(b": ")[1]) for line in text.split(b"\r\n") if line.startswith(b"X-Page-ID: ")]
-    assert ids == sorted(ids)
+        names += [line for line in text.split(b"\r\n") if line.startswith(b"WARC-Record-ID: ")]
+    assert ids == sorted(ids) and len(set(names)) == len(names) == len(ROWS) + len(listed["files"])
 
 
 def test_same_bytes_whatever_the_layout(spark, tmp_path):
