@@ -79,22 +79,30 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     measurement are replaced.
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    words, dense, lines = (_free(name, docs.columns) for name in ("_words", "_dense", "_lines"))
     return (
-        docs.withColumn("_words", F.array_remove(F.split(value, r"[\x20\x09-\x0D]+"), ""))
-        .withColumn("_dense", F.array_join("_words", ""))
-        .withColumn("_lines", F.filter(F.split(value, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
+        docs.withColumn(words, F.array_remove(F.split(value, r"[\x20\x09-\x0D]+"), ""))
+        .withColumn(dense, F.array_join(words, ""))
+        .withColumn(lines, F.filter(F.split(value, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
         .withColumns({
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.char_length("_dense").cast("long"),
-            "n_symbols": (F.size(F.split("_dense", "[#*$%&|<>]")) - 1).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.expr(_repeat_words("_words")),
+            "n_words": F.size(words).cast("long"),
+            "word_chars": F.char_length(dense).cast("long"),
+            "n_symbols": (F.size(F.split(dense, "[#*$%&|<>]")) - 1).cast("long"),
+            "n_lines": F.size(lines).cast("long"),
+            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            "n_repeat_words": F.expr(_repeat_words(words)),
         })
-        .drop("_words", "_dense", "_lines")
+        .drop(words, dense, lines)
     )
 
 
+def _free(name: str, taken: list[str]) -> str:
+    """``name`` with as many more underscores in front as it takes to differ from all columns."""
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def rule_failures() -> dict[int, Column]:
     """For each rule the condition that it fails, over the measurements and in whole numbers.
 

@@ -50,3 +50,10 @@ def test_empty_table_and_plan(spark):
     assert quality.ablation(quality.ledger(docs)).count() == 0
     plan = quality.keep(spark.range(3).select(F.col("id").cast("string").alias("text")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = spark.createDataFrame([("a b c", 1, 2.0, "x", "y")], "text string, _words int, _dense double, _lines string, __words string")
+    (row,) = quality.measure(docs).collect()
+    assert (row["_words"], row["_dense"], row["_lines"], row["__words"], row["n_words"]) == (1, 2.0, "x", "y", 3)
+    assert quality.keep(docs).columns == docs.columns
