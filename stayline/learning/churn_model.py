@@ -140,10 +140,11 @@ def learners(settings: ModelSettings) -> dict[str, Callable[[DataFrame, int], Mo
 
 def _prepared(rows: DataFrame, features: Features, keep: Sequence[str], name: str) -> DataFrame:
     """Stored training rows (row_hash, label, cells, weight), dealt by a hash of their key."""
-    weights = durable(class_weights(rows), "weights")  # one row for each class
-    n = sum(r["n"] for r in weights.collect())
-    ready = features.apply(rows, [*keep, "label"]).join(F.broadcast(weights.select("label", "weight")), "label")
-    return durable(trees.training_rows(ready, n, F.struct(*keep), F.col("label"), vector_to_array("features"), F.col("weight")), name)
+    classes = class_weights(rows).collect()  # one row for each class
+    weight = F.coalesce(*[F.when(F.col("label") == r["label"], F.lit(r["weight"])) for r in classes], F.lit(0.0)).alias("weight")
+    ready = features.apply(rows, [*keep, "label"])
+    n = sum(r["n"] for r in classes)
+    return durable(trees.training_rows(ready, n, F.struct(*keep), F.col("label"), vector_to_array("features"), weight), name)
 
 
 def score(model: Model, prepared: DataFrame) -> DataFrame:
