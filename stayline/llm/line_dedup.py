@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm.storage import slices, stored
+from stayline.llm.storage import numbered, slices, stored
 
 RUN_BYTES = 4 << 20
 #: Lines of fewer words are never taken for altered repeats: "Yes." and "No." are one edit apart.
@@ -86,27 +86,81 @@ def _lines(docs: DataFrame, least_words: int, more: list[tuple[str, pa.DataType]
     return docs.select("doc_id", "text_hash", "text").mapInArrow(read, f"{_PLACE}, h1 long, h2 long{sql}")
 
 
-_VARIANT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("kind", pa.int8()), ("h1", pa.int64()), ("h2", pa.int64())])
+_VARIANT = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("kind", pa.int8()), ("at", pa.int64())])
 REPLACED, LONGER, WHOLE = range(3)
+#: Odd multipliers of the two running hashes, and their inverses modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
+
+
+def _mixed(x: np.ndarray, *tags: np.ndarray | int) -> np.ndarray:
+    """Hashes of numbers together with small numbers that tell their kind."""
+    with np.errstate(over="ignore"):
+        for tag in tags:
+            x = (x ^ np.asarray(tag).astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+            x = x ^ (x >> np.uint64(32))
+    return x
+
+
+def _variant_keys(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, kind and both keys of all variants of lines given by their words.
+
+    A line's hash is the sum of its words' hashes times powers of a base. Without one word it is the sum before the word plus
+    the sum behind it, moved down by one power, so a line costs as much as it has words.
+    """
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    row = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(row)) - np.repeat(ends - sizes, sizes)
+    hashes = np.array([_two(w) for line in words for w in line], np.int64).reshape(-1, 2).view(np.uint64)
+    n = np.repeat(sizes, sizes)
+    # leaving out either of two equal neighbours gives the same line
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (place[1:] == 0) | (hashes[1:] != hashes[:-1]).any(axis=1)
+    rows = np.concatenate([np.arange(len(words)), row, row[fresh]])
+    kinds = np.repeat(np.array([WHOLE, REPLACED, LONGER], np.int8), [len(words), len(row), int(fresh.sum())])
+    keys = []
+    for k, (base, inverse) in enumerate(zip(_BASES, _INVERSES)):
+        with np.errstate(over="ignore"):
+            powers = np.full(int(sizes.max(initial=0)) + 1, base, np.uint64)
+            powers[0] = 1
+            powers = np.multiply.accumulate(powers)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes[:, k] * powers[place], dtype=np.uint64)])
+            first, last = sums[ends - sizes], sums[ends]
+            at = np.arange(len(row))
+            rest = (sums[at] - first[row]) + (last[row] - sums[at + 1]) * np.uint64(inverse)
+        # a line without a word is looked for among whole lines of that length; others only among lines without the same place
+        keys.append(np.concatenate([
+            _mixed(last - first, WHOLE, sizes), _mixed(rest, REPLACED + 10, n, place), _mixed(rest[fresh], WHOLE, n[fresh] - 1),
+        ]).view(np.int64))
+    return rows, kinds, *keys
 
 
 def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All variants of each line (h1, h2, line), as hashed keys."""
+    """All variants of each line (at, line), as hashed keys."""
     for whole in batches:
-        for batch in slices(iter([whole]), 2, RUN_BYTES // 16):
-            columns: list[list] = [[] for _ in range(5)]
-            for h1, h2, line in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                words = line_words(line)
-                keys = [(*_two(b"I " + b" ".join(words)), WHOLE)]
-                for i in range(len(words)):
-                    rest = b" ".join(words[:i] + words[i + 1:])
-                    keys.append((*_two(b"R%d " % i + rest), REPLACED))
-                    if not i or words[i] != words[i - 1]:
-                        keys.append((*_two(b"I " + rest), LONGER))
-                for k1, k2, kind in keys:
-                    for column, value in zip(columns, (k1, k2, kind, h1, h2)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _VARIANT)], schema=_VARIANT)
+        for batch in slices(iter([whole]), 1, RUN_BYTES // 16):
+            rows, kinds, k1, k2 = _variant_keys([line_words(line) for line in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.array(k2), pa.array(kinds), batch.column(0).take(pa.array(rows))], schema=_VARIANT)
+
+
+_ASKED = "absent boolean, doc_id long, text_hash long, line_no int, h1 long, h2 long, line binary"
+_ASKED_ARROW = [*_PLACE_ARROW, ("h1", pa.int64()), ("h2", pa.int64()), ("line", pa.binary())]
+
+
+def _asked_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(absent, doc_id, text_hash, asked: line_no, h1, h2, text) to the asked lines of each text."""
+    for batch in slices(batches, 4, RUN_BYTES):
+        columns: list[list] = [[] for _ in _ASKED_ARROW]
+        texts = batch.column(4).cast(pa.binary()).to_pylist()
+        for absent, doc_id, text_hash, asked, text in zip(*(batch.column(k).to_pylist() for k in range(4)), texts):
+            lines = (text or b"").split(b"\n")
+            for one in asked:
+                row = (absent, doc_id, text_hash, one["line_no"], one["h1"], one["h2"], lines[one["line_no"]])
+                for column, value in zip(columns, row):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _ASKED_ARROW)], [n for n, _ in _ASKED_ARROW])
 
 
 def _place() -> Column:
@@ -140,45 +194,42 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         rows, least, kinds, ", words int, p0 long, s0 long, p1 long, s1 long",
         lambda line, words: (min(len(words), max(least_words, least_equal)), *(half_keys(words) if len(words) >= least_words else (None,) * 4)),
     )
+    # split and hashed once; what follows reads the columns it needs
+    every = stored(every, "all_lines")
     uniq = stored(
         every.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.max(_place()).alias("last"), *[F.min(k).alias(k) for k, _ in kinds]), "lines"
     )
 
     possible = stored(_with_possible_partner(uniq.where(F.col("words") >= least_words)), "possible")
-    texts = _lines(rows, least_words, [("line", pa.binary())], ", line binary", lambda line, words: (line,))
-    first = possible.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
-    same = (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & _place().eqNullSafe(F.col("first"))
-    lines = stored(texts.join(first, same).select("h1", "h2", "first", "line").dropDuplicates(["h1", "h2"]), "near_lines")
-
-    keys = lines.select("h1", "h2", "line").mapInArrow(_variant_rows, "k1 long, k2 long, kind byte, h1 long, h2 long")
-    variants = stored(keys.join(lines.select("h1", "h2", "first"), ["h1", "h2"]), "variants")
-    member = F.struct("first", "h1", "h2")
+    # the texts of the documents that hold the first of such lines; as many as a document has lines are asked of it
+    own = (F.col("absent"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("known"), F.col("text_hash"))
+    asked = possible.select("first.*", "h1", "h2").groupBy(*own).agg(F.collect_list(F.struct("line_no", "h1", "h2")).alias("asked"))
+    held = rows.withColumn("absent", F.col("doc_id").isNull()).select("doc_id", "text", *own).join(asked, ["absent", "known", "text_hash"])
+    found = held.select("absent", "doc_id", "text_hash", "asked", "text").mapInArrow(_asked_lines, _ASKED)
+    # from here on a line is its number in the order of places: earlier is smaller
+    order = [F.col(c).asc_nulls_first() for c in ("absent", "doc_id", "text_hash", "line_no")]
+    lines, _ = numbered(found.dropDuplicates(["h1", "h2"]).drop("h1", "h2"), *order, name="at")
+
+    variants = stored(lines.select("at", "line").mapInArrow(_variant_rows, "k1 long, k2 long, kind byte, at long"), "variants")
     earliest = variants.groupBy("k1", "k2").agg(
-        F.min(F.when(F.col("kind") == WHOLE, member)).alias("whole"),
-        F.min(F.when(F.col("kind") != WHOLE, member)).alias("other"),
+        F.min(F.when(F.col("kind") == WHOLE, F.col("at"))).alias("whole"),
+        F.min(F.when(F.col("kind") != WHOLE, F.col("at"))).alias("other"),
         F.count(F.lit(1)).alias("n"),
     ).where("n > 1")
     partner = F.when(F.col("kind") == LONGER, F.col("whole")).otherwise(F.col("other"))
-    pairs = (
-        variants.join(earliest, ["k1", "k2"]).select("h1", "h2", "first", partner.alias("partner"))
-        .where("partner IS NOT NULL AND partner.first < first").select("h1", "h2", "first", "partner").distinct()
-    )
+    pairs = variants.join(earliest, ["k1", "k2"]).select("at", partner.alias("partner")).where("partner < at").distinct()
 
     @F.arrow_udf("boolean")
     def near(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array([within_one_edit(line_words(a), line_words(b)) for a, b in zip(left.to_pylist(), right.to_pylist())], pa.bool_())
 
-    own = lines.select("h1", "h2", F.col("line").alias("own"))
-    other = lines.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("line").alias("other"))
-    verified = (
-        pairs.join(own, ["h1", "h2"])
-        .join(other, (F.col("partner.h1") == F.col("o1")) & (F.col("partner.h2") == F.col("o2")))
-        .where(near("own", "other"))
-    )
-    altered = verified.groupBy("h1", "h2").agg(F.min("first").alias("place"), F.min("partner.first").alias("kept"), F.lit(1).alias("distance"))
+    own = lines.select("at", _place().alias("place"), F.col("line").alias("own"))
+    other = lines.select(F.col("at").alias("partner"), _place().alias("kept"), F.col("line").alias("other"))
+    verified = pairs.join(own, "at").join(other, "partner").where(near("own", "other"))
+    altered = verified.groupBy("at").agg(F.min("place").alias("place"), F.min("kept").alias("kept"), F.lit(1).alias("distance"))
 
     again = uniq.where((F.col("words") >= least_equal) & ~F.col("first").eqNullSafe(F.col("last"))).select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("kept"))
-    narrow = _lines(rows, least_equal, [], "", lambda line, words: ())
+    narrow = every.where(F.col("words") >= least_equal).select("absent", "doc_id", "text_hash", "line_no", "h1", "h2")
     equal = (
         narrow.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")))
         .select(_place().alias("place"), "kept", F.lit(0).alias("distance"))

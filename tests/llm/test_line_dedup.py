@@ -1,6 +1,7 @@
 """Repeated and altered lines against a comparison of all pairs."""
 
 import random
+import time
 
 from stayline.llm import line_dedup as L
 
@@ -60,6 +61,29 @@ def test_random_lines(spark):
     }
 
 
+def test_variants_meet_exactly_within_one_edit():
+    draw = random.Random(4)
+    lines = [[draw.choice([b"a", b"b", b"cc"]) for _ in range(draw.randrange(1, 8))] for _ in range(150)]
+    rows, kinds, k1, k2 = L._variant_keys(lines)
+    held = [{(kind, a, b) for r, kind, a, b in zip(rows, kinds, k1, k2) if r == i} for i in range(len(lines))]
+    # whole lines are met by lines of one word more, replacements by lines of the same length
+    kept = [({(a, b) for k, a, b in h if k == L.WHOLE}, {(a, b) for k, a, b in h if k == L.LONGER}, {(a, b) for k, a, b in h if k == L.REPLACED}) for h in held]
+    for i, a in enumerate(lines):
+        for j in range(i):
+            meets = bool(kept[i][0] & kept[j][0] or kept[i][0] & kept[j][1] or kept[i][1] & kept[j][0] or kept[i][2] & kept[j][2])
+            assert meets == L.within_one_edit(a, lines[j]), (a, lines[j])
+
+
+def test_long_lines_are_linear(spark):
+    words = [f"w{k % 977}" for k in range(200_000)]
+    changed = [*words[:99_000], "new", *words[99_001:]]
+    longer = [*words[:150_000], "more", *words[150_000:]]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate((words, changed, longer, words[::-1]))], "doc_id long, text string")
+    began = time.time()
+    assert found(L.repeated_lines(docs)) == {(1, 0): (0, 0, 1), (2, 0): (0, 0, 1)}
+    assert time.time() - began < 60
+
+
 def test_a_line_in_many_versions(spark):
     """Each version is met with the earliest only."""
     rows = [(k, f"page {k} of the long report ends here") for k in range(700)]
