@@ -95,11 +95,11 @@ def test_every_node_equals_a_plain_tree(spark, growth):
     assert grown.importance.sum() == pytest.approx(1) and grown.importance[0] > 0.2 and grown.importance[3] == 0
 
 
-@pytest.mark.parametrize("growth", [trees.extra_trees(8, max_depth=6), trees.forest(8, max_depth=6)], ids=["extra", "forest"])
+@pytest.mark.parametrize("growth", [trees.extra_trees(5, max_depth=4), trees.forest(5, max_depth=4)], ids=["extra", "forest"])
 def test_layout_does_not_matter(spark, growth, monkeypatch):
     cells, label = sample(900, 3)
     found = []
-    for parts, level_bytes in ((1, 1 << 28), (16, 1 << 28), (64, 20_000)):
+    for parts, level_bytes in ((1, 1 << 28), (16, 1 << 28), (64, 60_000)):
         monkeypatch.setattr(trees, "LEVEL_BYTES", level_bytes)
         found.append(trees.grow(table(spark, cells, label, parts)[0], cells.shape[1], growth))
     for other in found[1:]:
