@@ -75,11 +75,11 @@ def _even_bucket(value: Column, low: Column, high: Column) -> Column:
     return F.least(F.floor((value - low) / (high - low) * BUCKETS).cast("long"), F.lit(BUCKETS - 1).cast("long"))
 
 
-def _counted(rows: DataFrame, keys: list[str], ends: bool = False) -> DataFrame:
-    """One row for each key with n and, if asked for, its least and greatest value: by task, by class of partitions, and once."""
+def _counted(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key with n, its least and its greatest value: by task, by class of partitions, and once."""
     within = rows.withColumn("part", F.spark_partition_id() % MERGED).groupBy("part", *keys)
-    first = within.agg(F.count(F.lit(1)).alias("n"), *([F.min("value").alias("low"), F.max("value").alias("high")] if ends else []))
-    return first.groupBy(*keys).agg(F.sum("n").alias("n"), *([F.min("low").alias("low"), F.max("high").alias("high")] if ends else []))
+    first = within.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return first.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _stacked(df: DataFrame, targets: list[Target]) -> tuple[DataFrame, T.DataType]:
@@ -117,7 +117,7 @@ def values_at_ranks(df: DataFrame, targets: list[Target]) -> dict[str, list[Foun
     rows, kind = _stacked(df, targets)
 
     first = _by_part(
-        _counted(rows.withColumn("bucket", _first_bucket(F.col("value"), kind)), ["target", "bucket"], ends=True).withColumnRenamed("target", "part")
+        _counted(rows.withColumn("bucket", _first_bucket(F.col("value"), kind)), ["target", "bucket"]).withColumnRenamed("target", "part")
     )
     totals = {i: sum(r["n"] for r in buckets) for i, buckets in first.items()}
     wanted = sorted({(i, rank) for i, n in totals.items() for rank in targets[i].ranks(n)})
@@ -142,7 +142,7 @@ def values_at_ranks(df: DataFrame, targets: list[Target]) -> dict[str, list[Foun
     while wide := sorted({(i, p.before) for (i, _), p in place.items() if p.n > FEW and p.low != p.high}):
         bucket = _even_bucket(F.col("value"), F.col("low"), F.col("high"))
         divided = inside(wide).withColumnRenamed("part", "of_part").withColumn("bucket", bucket).select("of_part", "bucket", "value")
-        found = _by_part(_counted(divided, ["of_part", "bucket"], ends=True).withColumnRenamed("of_part", "part"))
+        found = _by_part(_counted(divided, ["of_part", "bucket"]).withColumnRenamed("of_part", "part"))
         for (i, rank), p in place.items():
             if (i, p.before) in wide:
                 place[i, rank] = holding(found[wide.index((i, p.before))], rank, p.before)
@@ -150,9 +150,10 @@ def values_at_ranks(df: DataFrame, targets: list[Target]) -> dict[str, list[Foun
     done = {at: Found(p.low, p.before, p.n, totals[at[0]]) for at, p in place.items() if p.low == p.high}
     rest = sorted({(i, p.before) for (i, rank), p in place.items() if (i, rank) not in done})
     if rest:
-        # at most FEW rows of each part
+        # at most FEW rows of each part, so one count does
         through = F.sum("n").over(Window.partitionBy("of_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-        counted = _counted(inside(rest).withColumnRenamed("part", "of_part"), ["of_part", "value"]).withColumn("through", through)
+        few = inside(rest).groupBy(F.col("part").alias("of_part"), "value").agg(F.count(F.lit(1)).alias("n"))
+        counted = few.withColumn("through", through)
         asked = [(rest.index((i, place[i, rank].before)), rank - place[i, rank].before, i, rank) for i, rank in wanted if (i, rank) not in done]
         sent = small_table(spark, [(at, k, r) for at, (k, r, _, _) in enumerate(asked)], "at int, k int, place bigint")
         hit = (F.col("of_part") == F.col("k")) & (F.col("through") >= F.col("place")) & (F.col("through") - F.col("n") < F.col("place"))
