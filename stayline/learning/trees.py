@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# rows of a task that are held at a time
-CHUNK_ROWS = 1 << 16
+# rows that a task codes at a time, as their codes fit two bytes; coded rows that it holds, and works on, at a time
+CHUNK_ROWS, HELD_ROWS, PART_ROWS = (1 << 16) - 1, 1 << 19, 1 << 14
 # rows whose quantiles make the bins of a forest
 BIN_ROWS = 10_000
 # rows for each task when there are cores for all of them, and at most
-LEAST_TASK_ROWS, MOST_TASK_ROWS = 1 << 10, 1 << 17
-# bytes of one level's sums in a task; with more, the trees are taken in several jobs
+LEAST_TASK_ROWS, MOST_TASK_ROWS = 1 << 10, 1 << 19
+# bytes of what is sent to tasks and comes back of one level; with more, the trees are taken in several jobs
 LEVEL_BYTES = 256 << 20
 # features looked at for each one that may be tried: constant ones are passed over
 POOL = 2
@@ -79,9 +79,19 @@ DRAW, ORDER, CUT = range(3)
 _DRAWN = np.cumsum([1 / np.e / float(np.prod(np.arange(1.0, k + 1))) for k in range(19)])
 
 
+# draws by the first 12 bits of a hash; -1: the other bits decide
+_LEADING = np.arange(1 << 12)
+_DRAWN_BY = np.searchsorted(_DRAWN, _LEADING / (1 << 12), side="right")
+_DRAWN_BY = np.where(_DRAWN_BY == np.searchsorted(_DRAWN, (_LEADING + 1) / (1 << 12), side="right"), _DRAWN_BY, -1)
+
+
 def draws(seed: int, tree: int, row_hash: np.ndarray) -> np.ndarray:
     """How often a tree draws each row."""
-    return np.searchsorted(_DRAWN, uniform(DRAW, seed, tree, row_hash), side="right").astype(np.int64)
+    hashes = mixed(DRAW, seed, tree, row_hash)
+    times = _DRAWN_BY[(hashes >> np.uint64(52)).astype(np.int64)]
+    open_ = np.flatnonzero(times < 0)
+    times[open_] = np.searchsorted(_DRAWN, (hashes[open_] >> np.uint64(11)).astype(np.float64) / float(1 << 53), side="right")
+    return times
 
 
 def pool(seed: int, tree: int, nodes: np.ndarray, features: int, tried: int) -> np.ndarray:
@@ -102,26 +112,30 @@ class Ensemble:
     probability: np.ndarray
     importance: np.ndarray
 
-    def nodes(self, tree: int, cells: np.ndarray, levels: int) -> np.ndarray:
-        """The node that each row has reached after so many levels."""
-        return _descend(self.feature[tree], self.cut[tree], cells, levels)
-
     def predict(self, cells: np.ndarray) -> np.ndarray:
         """The mean share of class 1 over all trees."""
         depth = (self.feature.shape[1] + 1).bit_length() - 2
-        total = np.zeros(len(cells))
+        total, columns, row = np.zeros(len(cells)), np.ascontiguousarray(cells.T), np.arange(len(cells))
         for tree in range(len(self.feature)):
-            total += self.probability[tree][self.nodes(tree, cells, depth)]
+            total += self.probability[tree][_descend(self.feature[tree], self.cut[tree], columns, row, depth)]
         return total / len(self.feature)
 
 
-def _descend(feature: np.ndarray, cut: np.ndarray, cells: np.ndarray, levels: int) -> np.ndarray:
-    node, row = np.zeros(len(cells), np.int64), np.arange(len(cells))
-    for _ in range(levels):
-        f = feature[node]
-        # a node without a division keeps its rows
-        below = 2 * node + 1 + (cells[row, f] > cut[node])
-        node = np.where(f < 0, node, below)
+def _descend(feature: np.ndarray, cut: np.ndarray, columns: np.ndarray, row: np.ndarray, levels: int) -> np.ndarray:
+    """The node that each of the rows has reached after so many levels; ``columns`` has a line for each feature, and cuts are in its units."""
+    n, flat, numbers = columns.shape[1], columns.ravel(), np.arange(len(feature))
+    # a node without a division keeps its rows
+    leaf = feature < 0
+    start = np.where(leaf, 0, feature).astype(np.int64) * n
+    # codes are not below 0, but a cut may be
+    cut = np.where(leaf, np.inf, cut) if columns.dtype.kind == "f" else np.where(leaf, 1 << 30, cut).astype(np.int32)
+    left = np.where(leaf, numbers, 2 * numbers + 1)
+    node = np.zeros(len(row), np.int64)
+    for level in range(levels):
+        if level:
+            node = left.take(node) + (flat.take(start.take(node) + row) > cut.take(node))
+        else:
+            node = left[0] + (flat.take(start[0] + row) > cut[0])
     return node
 
 
@@ -141,19 +155,14 @@ class _Level:
     chosen: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     class_weight: dict[int, np.ndarray] = field(default_factory=dict)
 
-    def slots(self, tree: int, cells: np.ndarray) -> np.ndarray:
-        """The place of each row's node among the tree's open ones; -1 where it is closed."""
-        place = np.full(1 << self.depth, -1, np.int64)
-        place[self.open[tree] - ((1 << self.depth) - 1)] = np.arange(len(self.open[tree]))
-        node = _descend(self.feature[tree], self.cut[tree], cells, self.depth) - ((1 << self.depth) - 1)
-        # a node closed on an earlier level lies before this one
-        return np.where(node < 0, -1, place[np.maximum(node, 0)])
-
     def tried_features(self, tree: int) -> np.ndarray:
         if tree in self.chosen:
             return self.chosen[tree][0]
         return pool(self.growth.seed, tree, self.open[tree], self.features, self.tried)
 
+    def bins_of(self, features: np.ndarray) -> np.ndarray:
+        return np.array([len(e) + 1 for e in self.edges])[features]
+
 
 def _chunks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Row hashes, labels and cells of at most ``CHUNK_ROWS`` rows at a time."""
@@ -176,77 +185,209 @@ def _chunks(batches: Iterator[pa.RecordBatch], features: int) -> Iterator[tuple[
         yield joined(held)
 
 
-def _rows_of(level: _Level, tree: int, chunk: tuple) -> tuple[np.ndarray, ...]:
-    """The rows of a chunk that are at open nodes of a tree: slots, row numbers, labels, times drawn."""
+@dataclass
+class _Coded:
+    """Rows whose cells are codes that keep the order of each feature: bins of a forest, else places among the chunk's distinct values."""
+
+    hashes: np.ndarray
+    labels: np.ndarray
+    codes: np.ndarray
+    # codes of the divisions so far
+    cuts: np.ndarray
+    # of random cuts: the distinct values, feature after feature, where each feature's begin, and for each tree the lowest codes above the tried cuts
+    values: np.ndarray | None = None
+    begins: np.ndarray | None = None
+    above: dict[int, np.ndarray] = field(default_factory=dict)
+
+
+def _below(values: list[np.ndarray], feature: np.ndarray, cut: np.ndarray, side: str) -> np.ndarray:
+    """The code of each cut: ``x <= cut`` for a value just where its code is at most this one. No feature: 0."""
+    out, less = np.zeros(feature.shape, np.int64), int(side == "right")
+    order = np.argsort(feature, axis=None, kind="stable")
+    ends = np.searchsorted(feature.ravel()[order], np.arange(len(values) + 1))
+    for f, known in enumerate(values):
+        at = order[ends[f] : ends[f + 1]]
+        out.reshape(-1)[at] = np.searchsorted(known, cut.reshape(-1)[at], side=side) - less
+    return out
+
+
+def _coded(chunk: tuple, level: _Level) -> list[_Coded]:
+    """The rows of a chunk in parts that a processor's cache holds."""
     hashes, labels, cells = chunk
-    slot = level.slots(tree, cells)
-    times = draws(level.growth.seed, tree, hashes) if level.growth.bootstrap else np.ones(len(hashes), np.int64)
-    row = np.flatnonzero((slot >= 0) & (times > 0))
-    return slot[row], row, labels[row], times[row]
 
+    def parts(codes: np.ndarray, *of_chunk) -> list[_Coded]:
+        cuts = [slice(a, a + PART_ROWS) for a in range(0, len(hashes), PART_ROWS)]
+        return [_Coded(hashes[c], labels[c], np.ascontiguousarray(codes[:, c]), *of_chunk) for c in cuts]
+
+    if not level.growth.random_cuts:
+        codes = np.stack([np.searchsorted(e, cells[:, f]) for f, e in enumerate(level.edges)]).astype(np.uint8 if level.growth.bins <= 1 << 8 else np.uint16)
+        return parts(codes, _below(level.edges, level.feature, level.cut, "left"))
+    codes, values = np.empty(cells.shape[::-1], np.uint16), []
+    for f in range(level.features):
+        known, codes[f] = np.unique(cells[:, f], return_inverse=True)
+        values.append(known)
+    begins = np.cumsum([0, *map(len, values)])[:-1]
+    # a cut below all values of a chunk has code -1
+    cuts = _below(values, level.feature, level.cut, "right")
+    above = {}
+    if level.chosen:
+        # all trees at once
+        codes_of = _below(values, *(np.concatenate([c[i] for c in level.chosen.values()]) for i in (0, 1)), "right")
+        ends = np.cumsum([len(f) for f, _ in level.chosen.values()])
+        above = dict(zip(level.chosen, np.split((codes_of + 1).astype(np.uint16), ends[:-1])))
+    return parts(codes, cuts, np.concatenate(values), begins, above)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], level: _Level) -> Iterator[list[_Coded]]:
+    """Coded parts of at most ``HELD_ROWS`` rows, or one chunk."""
+    held, n = [], 0
+    for chunk in _chunks(batches, level.features):
+        if held and n + len(chunk[0]) > HELD_ROWS:
+            yield held
+            held, n = [], 0
+        held.extend(_coded(chunk, level))
+        n += len(chunk[0])
+    if held:
+        yield held
 
-def _emit(sums: dict[int, dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """One row for each tree: cells of its sums that are not empty, and their values."""
-    for tree, parts in sums.items():
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([tree], pa.int32()), *[pa.array([part.tobytes()], pa.binary()) for part in parts.values()]], ["tree", *parts]
-        )
+
+def _rows_of(level: _Level, tree: int, chunk: _Coded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of a chunk that are at open nodes of a tree: slots, row numbers, times drawn. Slots ascend."""
+    if level.growth.bootstrap:
+        times = draws(level.growth.seed, tree, chunk.hashes)
+        row = np.flatnonzero(times)
+        times = times[row]
+    else:
+        row = np.arange(len(chunk.hashes))
+        times = np.ones(len(row), np.int64)
+    place = np.full(level.feature.shape[1] + (1 << level.depth), -1, np.int16 if level.depth < 15 else np.int64)
+    place[level.open[tree]] = np.arange(len(level.open[tree]))
+    slot = place.take(_descend(level.feature[tree], chunk.cuts[tree], chunk.codes, row, level.depth))
+    if len(level.open[tree]) < 1 << level.depth:
+        here = np.flatnonzero(slot >= 0)
+        slot, row, times = slot[here], row[here], times[here]
+    if len(level.open[tree]) > 1:
+        order = np.argsort(slot, kind="stable")
+        slot, row, times = slot[order], row[order], times[order]
+    return slot, row, times
+
+
+def _starts(slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ascending slots, those that occur, where each begins and how long it is."""
+    first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+    return slot[first].astype(np.int64), first, np.diff(first, append=len(slot))
+
+
+def _emit(tree: int, parts: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([tree], pa.int32()), *[pa.array([part.tobytes()], pa.binary()) for part in parts.values()]], ["tree", *parts]
+    )
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], level: _Level) -> Iterator[pa.RecordBatch]:
     """Least and greatest values of the pool's features at each open node."""
-    trees = sorted(level.open)
-    pools = {t: level.tried_features(t) for t in trees}
-    low = {t: np.full(pools[t].shape, np.inf) for t in trees}
-    high = {t: np.full(pools[t].shape, -np.inf) for t in trees}
-    for chunk in _chunks(batches, level.features):
-        for t in trees:
-            slot, row, _, _ = _rows_of(level, t, chunk)
-            if not len(row):
-                continue
-            order = np.argsort(slot, kind="stable")
-            slot, row = slot[order], row[order]
-            values = chunk[2][row[:, None], pools[t][slot]]
-            first = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
-            at = slot[first]
-            low[t][at] = np.minimum(low[t][at], np.minimum.reduceat(values, first))
-            high[t][at] = np.maximum(high[t][at], np.maximum.reduceat(values, first))
-    yield from _emit({t: {"low": low[t], "high": high[t]} for t in trees if np.isfinite(low[t]).any()})
+    for block in _blocks(batches, level):
+        for t in sorted(level.open):
+            tried = level.tried_features(t)
+            low, high = np.full(tried.shape, np.inf), np.full(tried.shape, -np.inf)
+            for chunk in block:
+                slot, row, _ = _rows_of(level, t, chunk)
+                if not len(row):
+                    continue
+                at, first, length = _starts(slot)
+                flat, begin = chunk.codes.ravel(), tried[at].astype(np.int64) * len(chunk.hashes)
+                for k in range(tried.shape[1]):
+                    if k >= level.tried:
+                        # a feature that varies in some rows varies in all of them: what lies behind enough of these is not tried
+                        enough = (low[at, :k] < high[at, :k]).sum(axis=1) >= level.tried
+                        if enough.all():
+                            break
+                        row, at, begin, length = row[np.repeat(~enough, length)], at[~enough], begin[~enough], length[~enough]
+                        first = np.cumsum(length) - length
+                    codes = flat.take(np.repeat(begin[:, k], length) + row)
+                    offset = chunk.begins[tried[at, k]]
+                    low[at, k] = np.minimum(low[at, k], chunk.values[offset + np.minimum.reduceat(codes, first)])
+                    high[at, k] = np.maximum(high[at, k], chunk.values[offset + np.maximum.reduceat(codes, first)])
+            if np.isfinite(low).any():
+                yield _emit(t, {"low": low, "high": high})
+
+
+# of some parts, rows and draws of both classes are added in one number: the bits of rows, and of draws
+_ROW_BITS, _DRAW_BITS = 17, 18
+
+
+def _unpacked(sums: np.ndarray) -> np.ndarray:
+    """Rows and draws of either class, from numbers that hold the three."""
+    sums = sums.astype(np.int64)
+    mask = (1 << _DRAW_BITS) - 1
+    return np.stack([sums & (1 << _ROW_BITS) - 1, sums >> _ROW_BITS & mask, sums >> _ROW_BITS + _DRAW_BITS], axis=-1)
+
+
+def _runs_of_draws(times: np.ndarray) -> list[slice]:
+    """Rows in runs whose draws fit their bits; nearly always one."""
+    if times.sum() < 1 << _DRAW_BITS:
+        return [slice(0, len(times))]
+    run = ((1 << _DRAW_BITS) - 1) // max(1, int(times.max()))
+    return [slice(a, a + run) for a in range(0, len(times), run)]
 
 
 def _sums(batches: Iterator[pa.RecordBatch], level: _Level) -> Iterator[pa.RecordBatch]:
-    """Rows, and draws of either class, by node, tried feature and side (or bin); the cells that are not empty."""
-    trees = sorted(level.open)
-    tried = {t: level.tried_features(t) for t in trees}
-    random_cuts = level.growth.random_cuts
-    width = 2 if random_cuts else level.growth.bins
-    found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {t: [] for t in trees}
-    for chunk in _chunks(batches, level.features):
-        bins = None if random_cuts else np.stack([np.searchsorted(e, chunk[2][:, f]) for f, e in enumerate(level.edges)], axis=1)
-        for t in trees:
-            slot, row, label, times = _rows_of(level, t, chunk)
-            of = tried[t][slot]
-            if random_cuts:
-                side = (chunk[2][row[:, None], of] > level.chosen[t][1][slot]).astype(np.int64)
-            else:
-                side = bins[row[:, None], of]
-            k = of.shape[1]
-            cell = ((slot[:, None] * k + np.arange(k)) * width + side).ravel()
-            size = len(level.open[t]) * k * width
-            ones = np.bincount(cell, minlength=size)
-            by_class = [np.bincount(cell, np.repeat(times * (label == c), k), size).astype(np.int64) for c in (0, 1)]
-            held = np.flatnonzero(ones)
-            found[t].append((held, np.stack([ones[held], by_class[0][held], by_class[1][held]], axis=1)))
-    for t in trees:
-        if found[t]:
-            held = np.concatenate([h for h, _ in found[t]])
-            values = np.concatenate([v for _, v in found[t]])
-            if len(found[t]) > 1:
-                held, back = np.unique(held, return_inverse=True)
-                summed = np.zeros((len(held), 3), np.int64)
-                np.add.at(summed, back, values)
-                values = summed
-            yield from _emit({t: {"cell": held.astype(np.int64), "value": values.astype(np.int64)}})
+    """Rows, and draws of either class: by node, tried feature and bin, or of random cuts by node, and by node and tried feature above the cut."""
+    for block in _blocks(batches, level):
+        for t in sorted(level.open):
+            tried = level.tried_features(t)
+            add = _above_cuts if level.growth.random_cuts else _by_bin
+            total, packed, room = 0, None, (0, 0)
+            for chunk in block:
+                slot, row, times = _rows_of(level, t, chunk)
+                weight = 1.0 + times * np.array([1 << _ROW_BITS, 1 << _ROW_BITS + _DRAW_BITS]).take(chunk.labels[row])
+                for run in _runs_of_draws(times) if len(row) else []:
+                    found, need = add(level, t, tried, chunk, slot[run], row[run], weight[run]), (len(row[run]), int(times[run].sum()))
+                    if packed is not None and min(r - n for r, n in zip(room, need)) >= 0:
+                        packed += found
+                    else:
+                        if packed is not None:
+                            total = total + _unpacked(packed)
+                        packed, room = found, ((1 << _ROW_BITS) - 1, (1 << _DRAW_BITS) - 1)
+                    room = tuple(r - n for r, n in zip(room, need))
+            if packed is not None:
+                total = total + _unpacked(packed)
+                kind = next(k for k in (np.uint16, np.uint32, np.int64) if total.max() <= np.iinfo(k).max)
+                yield _emit(t, {"value": total.astype(kind)})
+
+
+def _above_cuts(level: _Level, tree: int, tried: np.ndarray, chunk: _Coded, slot: np.ndarray, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(tried), 1 + tried.shape[1]))
+    at, first, length = _starts(slot)
+    out[at, 0] = np.add.reduceat(weight, first)
+    flat, begin, lowest = chunk.codes.ravel(), tried[at].astype(np.int64) * len(chunk.hashes), chunk.above[tree][at]
+    for k in range(tried.shape[1]):
+        above = flat.take(np.repeat(begin[:, k], length) + row) >= np.repeat(lowest[:, k], length)
+        out[at, 1 + k] = np.add.reduceat(weight * above, first)
+    return out
+
+
+def _by_bin(level: _Level, tree: int, tried: np.ndarray, chunk: _Coded, slot: np.ndarray, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """In the order of tried features, then nodes, then bins; of each feature as many as it has."""
+    out = []
+    at, _, length = _starts(slot)
+    flat, begin = chunk.codes.ravel(), tried[at].astype(np.int64) * len(chunk.hashes)
+    bins = level.bins_of(tried)
+    for k in range(tried.shape[1]):
+        ends = np.cumsum(bins[:, k])
+        cell = np.repeat((ends - bins[:, k])[at], length) + flat.take(np.repeat(begin[:, k], length) + row)
+        out.append(np.bincount(cell, weight, ends[-1]))
+    return np.concatenate(out)
+
+
+def _whole_sums(level: _Level, tried: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """(node, tried feature, side or bin, rows and draws) from what ``_sums`` adds up."""
+    if level.growth.random_cuts:
+        values = values.reshape(len(tried), 1 + tried.shape[1], 3)
+        return np.stack([values[:, :1] - values[:, 1:], values[:, 1:]], axis=2)
+    out = np.zeros((tried.shape[1], len(tried), level.growth.bins, 3), np.int64)
+    out[np.arange(level.growth.bins) < level.bins_of(tried.T)[..., None]] = values
+    return out.transpose(1, 0, 2, 3)
 
 
 def _by_tree(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
@@ -344,17 +485,18 @@ def _divide(batches: Iterator[pa.RecordBatch], level: _Level) -> Iterator[pa.Rec
             [pa.array([tree], pa.int32()), *[pa.array([found[c].astype(kind).tobytes()]) for c, kind in _DIVISION.items()]], ["tree", *_DIVISION]
         )
 
-    now, sums = None, None
-    width = 2 if level.growth.random_cuts else level.growth.bins
+    now, sums, tried = None, None, None
     for tree, batch in _by_tree(batches):
         if tree != now:
             if now is not None:
-                yield out(now, sums)
-            k = level.tried_features(tree).shape[1]
-            now, sums = tree, np.zeros((len(level.open[tree]), k, width, 3), np.int64)
-        sums.reshape(-1, 3)[_array(batch, 1, np.int64)] += _array(batch, 2, np.int64).reshape(-1, 3)
+                yield out(now, _whole_sums(level, tried, sums))
+            now, tried = tree, level.tried_features(tree)
+            cells = len(tried) * (1 + tried.shape[1]) if level.growth.random_cuts else int(level.bins_of(tried).sum())
+            sums = np.zeros((cells, 3), np.int64)
+        packed = batch.column(1)[0].as_buffer()
+        sums += np.frombuffer(packed, {2: np.uint16, 4: np.uint32, 8: np.int64}[packed.size // sums.size]).reshape(-1, 3)
     if now is not None:
-        yield out(now, sums)
+        yield out(now, _whole_sums(level, tried, sums))
 
 
 _DIVISION = {"feature": np.int32, "cut": np.float64, "total": np.int64, "left": np.int64, "gain": np.float64}
@@ -418,7 +560,7 @@ def grow(rows: DataFrame, features: int, growth: Growth) -> Ensemble:
         # the last level has its counts from its parents
         if not open_nodes or depth == growth.max_depth:
             break
-        per_node = tried * (POOL * 16 + 48 if growth.random_cuts else POOL * growth.bins * 32)
+        per_node = tried * 12 + 2 * 60
         following: dict[int, np.ndarray] = {}
         for part in _runs(open_nodes, per_node):
             seen = (1 << depth) - 1
@@ -428,7 +570,7 @@ def grow(rows: DataFrame, features: int, growth: Growth) -> Ensemble:
                     shape = (len(part[t]), -1)
                     level.chosen[t] = np.frombuffer(f, np.int32).reshape(shape), np.frombuffer(c, np.float64).reshape(shape)
                 level.open = {t: nodes for t, nodes in part.items() if t in level.chosen}
-            for t, packed in _job(rows, level, _sums, _divide, ("cell", "value"), tuple(_DIVISION)).items():
+            for t, packed in _job(rows, level, _sums, _divide, ("value",), tuple(_DIVISION)).items():
                 found = {c: np.frombuffer(p, kind) for p, (c, kind) in zip(packed, _DIVISION.items())}
                 nodes, total, left = level.open[t], found["total"].reshape(-1, 3), found["left"].reshape(-1, 3)
                 w = weight.setdefault(t, balanced(total[0, 1:]))
@@ -458,7 +600,7 @@ def _share(counts: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def _runs(open_nodes: dict[int, np.ndarray], node_bytes: int) -> Iterator[dict[int, np.ndarray]]:
-    """The trees in runs whose sums take ``LEVEL_BYTES`` at most; one tree's sums always fit."""
+    """The trees in runs that take ``LEVEL_BYTES`` at most; one tree always fits."""
     run: dict[int, np.ndarray] = {}
     used = 0
     for t, nodes in open_nodes.items():

@@ -176,3 +176,42 @@ def test_logistic_on_separable_and_no_rows(spark):
     assert np.isfinite(found.weights).all() and found.gradient <= 1e-9
     nothing = logistic.fit(weighted_rows(spark, cells, np.arange(60) % 2, np.ones(60)).where("false"), 1)
     assert (nothing.weights == 0).all()
+
+
+def held_batches(cells, label, hashes):
+    import pyarrow as pa
+
+    return [pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(label.astype(np.int32)), pa.array(list(cells))], ["h", "l", "c"])]
+
+
+@pytest.mark.parametrize("growth", [trees.extra_trees(2), trees.forest(2, bins=8)], ids=["extra", "forest"])
+def test_a_task_gives_small_sums_whatever_it_holds(monkeypatch, growth):
+    cells, label = sample(600, 4)
+    hashes = trees.mixed(np.arange(600) // 300)  # keys that repeat draw alike
+    edges = [] if growth.random_cuts else [np.unique(np.quantile(c, np.arange(1, 8) / 8, method="lower")) for c in cells.T]
+    level = trees._Level(growth, 0, np.full((2, 1), -1, np.int32), np.zeros((2, 1)), {t: np.zeros(1, np.int64) for t in (0, 1)}, 7, 2, edges)
+    if growth.random_cuts:
+        level.chosen = {t: (np.array([[0, 1]], np.int32), np.array([[-9.0, 1.5]])) for t in (0, 1)}
+    found = []
+    for chunk, held, part, bits in ((600, 600, 600, 18), (70, 150, 33, 18), (600, 600, 100, 7)):
+        monkeypatch.setattr(trees, "CHUNK_ROWS", chunk)
+        monkeypatch.setattr(trees, "HELD_ROWS", held)
+        monkeypatch.setattr(trees, "PART_ROWS", part)
+        monkeypatch.setattr(trees, "_DRAW_BITS", bits)
+        out = list(trees._sums(iter(held_batches(cells, label, hashes)), level))
+        # counts below 65536 take two bytes, and nothing but counts is sent
+        assert all(len(b.column(1)[0].as_py()) % 6 == 0 for b in out)
+        divided = list(trees._divide((b for t in (0, 1) for b in out if b.column(0)[0].as_py() == t), level))
+        found.append([b.to_pylist() for b in divided])
+    assert found[0] and found[0] == found[1] == found[2]
+
+
+def test_cuts_below_all_values_of_a_part_send_rows_above():
+    cells = np.array([[5.0], [6.0], [7.0]])
+    level = trees._Level(trees.extra_trees(1), 1, np.zeros((1, 1), np.int32), np.full((1, 1), 1.0), {0: np.array([1, 2])}, 1, 1)
+    level.chosen = {0: (np.zeros((2, 1), np.int32), np.array([[0.0], [6.5]]))}
+    (block,) = trees._blocks(iter(held_batches(cells, np.array([0, 1, 1]), trees.mixed(np.arange(3)))), level)
+    slot, row, _ = trees._rows_of(level, 0, block[0])
+    assert slot.tolist() == [1, 1, 1] and row.tolist() == [0, 1, 2]
+    (out,) = trees._sums(iter(held_batches(cells, np.array([0, 1, 1]), trees.mixed(np.arange(3)))), level)
+    assert np.frombuffer(out.column(1)[0].as_py(), np.uint16).reshape(2, 2, 3)[1].tolist() == [[3, 1, 2], [1, 0, 1]]
