@@ -195,7 +195,8 @@ class FinalModel:
 
 
 def refit(features: DataFrame, name: str, key: str = "account_id", settings: ModelSettings = ModelSettings()) -> FinalModel:
-    rows = durable(labelled(features), "labelled")
+    """Fit the learner on all labelled rows. ``features`` is read several times, so store it first."""
+    rows = labelled(features)
     fitted = fit_features(rows)
     names = feature_names(fitted.apply(rows, []))
     return FinalModel(name, learners(settings)[name](_prepared(rows, fitted, [key], "all"), len(names)), fitted, names)

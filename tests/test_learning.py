@@ -127,3 +127,19 @@ def test_the_models_find_a_planted_signal(spark):
     df = spark.createDataFrame(rows, "account_id string, ticket_count int, seats int, churn_flag boolean")
     found = M.compare_models(df, settings=M.ModelSettings(max_iter=30, forest_trees=5, extra_trees=4, max_depth=5))
     assert min(found.aucs.values()) > 0.9
+
+
+def test_folds_are_not_stored_wide_again(spark, monkeypatch):
+    rows = [(i, i % 7, i % 5, i % 3 == 0 if i % 10 else None) for i in range(120)]
+    df = spark.createDataFrame(rows, "account_id long, ticket_count int, seats int, churn_flag boolean")
+    stored = []
+
+    def noted(table, name):
+        stored.append((name, len(table.columns)))
+        return durable(table, name)
+
+    monkeypatch.setattr(M, "durable", noted)
+    scored = M.score_out_of_fold(df, M.LOGISTIC, folds=3, settings=FEW)
+    assert scored.count() == 120 and scored.filter("churn_probability between 0 and 1").count() == 120
+    # once all accounts, and of each fold only what its learner reads
+    assert stored == [("folds", 5)] + 3 * [("all", 4)]

@@ -201,7 +201,7 @@ def out_of_fold_checks(spark: SparkSession, folder: str) -> DataFrame:
         F.count(F.lit(1)).alias("accounts"), F.count_if(p.isNull() | ~p.between(0, 1)).alias("outside_0_1")
     )
     trained = None
-    for k, (own, others) in enumerate(churn_model.fold_parts(features, "account_id", folds)):
+    for k, (own, others) in enumerate(churn_model.fold_parts(features.select("account_id", "churn_flag"), "account_id", folds)):
         seen = churn_model.labelled(others).select("account_id", F.lit(1).alias("seen"))
         held = own.select("account_id", F.lit(1).alias("held"))
         row = seen.join(held, "account_id", "full").agg(
