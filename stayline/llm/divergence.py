@@ -23,8 +23,13 @@ from stayline.llm.storage import slices, stored
 #: Shares are whole numbers of billionths, so all arithmetic is exact.
 SCALE = 1_000_000_000
 
-#: Text bytes of one run of rows in a task, cells of the count matrix in one block, postings scattered at a time.
-RUN_BYTES = 32 << 20
+#: Text bytes of one run of rows in a task, counts that a task holds before it adds them up, counts given out at a time.
+RUN_BYTES = 2 << 20
+HELD_ROWS = 1_000_000
+GIVEN_ROWS = 1 << 16
+COUNTED = ["lang", "source", "term", "n", "docs"]
+
+#: Cells of the count matrix in one block, postings scattered at a time.
 BLOCK_CELLS = 1 << 19
 SCATTERED = 1 << 20
 
@@ -71,32 +76,53 @@ def _totals(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], sums, np.diff(np.append(first, len(keys)))
 
 
+def _of_run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(lang, source, text) to (lang, source, term, n, docs), added up; a row without a term for each group."""
+    lang, source = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
+    pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+    pairs, group = np.unique(pair, return_inverse=True)
+    lang_of, source_of = (pa.array(part, pa.int32()) for part in np.divmod(pairs, len(source.dictionary)))
+    row, found = terms_of(batch.column(2))
+    coded = found.dictionary_encode()
+    size = max(1, len(coded.dictionary))
+    cells, n, _ = _totals(row * size + coded.indices.to_numpy(), np.ones(len(row), np.int64))
+    in_doc, term = np.divmod(cells, size)
+    keys, n, docs = _totals(group[in_doc] * size + term, n)
+    in_group, term = np.divmod(keys, size)
+    groups = np.concatenate([in_group, np.arange(len(pairs))])
+    names = pa.concat_arrays([coded.dictionary.take(pa.array(term)).view(pa.string()), pa.nulls(len(pairs), pa.string())])
+    return pa.RecordBatch.from_arrays(
+        [
+            lang.dictionary.take(lang_of.take(pa.array(groups))),
+            source.dictionary.take(source_of.take(pa.array(groups))),
+            names,
+            pa.array(np.concatenate([n, np.zeros(len(pairs), np.int64)])),
+            pa.array(np.concatenate([docs, np.zeros(len(pairs), np.int64)])),
+        ],
+        COUNTED,
+    )
+
+
+def _added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    summed = pa.Table.from_batches(held).group_by(COUNTED[:3], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return summed.rename_columns(COUNTED).to_batches(max_chunksize=GIVEN_ROWS)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, source, text) to (lang, source, term, n, docs), added up for each run of rows; a row without a term for each group."""
+    """The counts of all runs of a task. Rows are held and added up; sums that stay too many are given out, equal keys or not."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in slices(batches, 2, RUN_BYTES):
-        lang, source = batch.column(0).dictionary_encode(), batch.column(1).dictionary_encode()
-        pair = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-        pairs, group = np.unique(pair, return_inverse=True)
-        lang_of, source_of = (pa.array(part, pa.int32()) for part in np.divmod(pairs, len(source.dictionary)))
-        row, found = terms_of(batch.column(2))
-        coded = found.dictionary_encode()
-        size = max(1, len(coded.dictionary))
-        cells, n, _ = _totals(row * size + coded.indices.to_numpy(), np.ones(len(row), np.int64))
-        in_doc, term = np.divmod(cells, size)
-        keys, n, docs = _totals(group[in_doc] * size + term, n)
-        in_group, term = np.divmod(keys, size)
-        groups = np.concatenate([in_group, np.arange(len(pairs))])
-        names = pa.concat_arrays([coded.dictionary.take(pa.array(term)).view(pa.string()), pa.nulls(len(pairs), pa.string())])
-        yield pa.RecordBatch.from_arrays(
-            [
-                lang.dictionary.take(lang_of.take(pa.array(groups))),
-                source.dictionary.take(source_of.take(pa.array(groups))),
-                names,
-                pa.array(np.concatenate([n, np.zeros(len(pairs), np.int64)])),
-                pa.array(np.concatenate([docs, np.zeros(len(pairs), np.int64)])),
-            ],
-            ["lang", "source", "term", "n", "docs"],
-        )
+        held.append(_of_run(batch))
+        size += held[-1].num_rows
+        if size > HELD_ROWS:
+            held = _added(held)
+            size = sum(b.num_rows for b in held)
+            if size > HELD_ROWS // 2:
+                yield from held
+                held, size = [], 0
+    if held:
+        yield from _added(held)
 
 
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,3 +111,42 @@ def test_scatter_in_runs(monkeypatch):
     whole = [rows.scattered(i).tolist() + [b.tolist() for b in rows.baselines(i)] for i in range(30)]
     monkeypatch.setattr(divergence, "SCATTERED", 40)
     assert whole == [rows.scattered(i).tolist() + [b.tolist() for b in rows.baselines(i)] for i in range(30)]
+
+
+def test_memory_of_counting():
+    """A worker's arrays do not grow with the batch that Spark hands over."""
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefgh", k=5)) for _ in range(5_000)]
+    texts = [" ".join(draw.choices(words, k=300)) for _ in range(9_000)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "source": [f"s{i % 20}" for i in range(len(texts))], "text": texts})
+    tracemalloc.start()
+    try:
+        given = list(divergence._counted(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert batch.column(2).nbytes > 16_000_000 and peak < 80_000_000
+    want = Counter((f"s{i % 20}", t) for i, text in enumerate(texts) for t in text.split())
+    found = Counter()
+    for r in pa.Table.from_batches(given).to_pylist():
+        found[r["source"], r["term"]] += r["n"]
+    assert {k: n for k, n in found.items() if k[1] is not None} == want and sum(b.num_rows for b in given) == len(want) + 20
+
+
+def test_counts_held_and_given_out(monkeypatch):
+    rows = [("en", f"s{i % 3}", f"w{chr(97 + i % 26)} w{chr(97 + i % 7)} same same") for i in range(500)] + [("en", "s9", "")]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("lang", "source", "text"), r)) for r in rows])
+    monkeypatch.setattr(divergence, "RUN_BYTES", 60)
+
+    def summed():
+        n, docs = Counter(), Counter()
+        for r in (r for b in divergence._counted(iter([batch])) for r in b.to_pylist()):
+            n[r["lang"], r["source"], r["term"]] += r["n"]
+            docs[r["lang"], r["source"], r["term"]] += r["docs"]
+        return n, docs
+
+    whole = summed()
+    assert whole[0]["en", "s0", "same"] == 334 and whole[1]["en", "s0", "same"] == 167 and ("en", "s9", None) in whole[0]
+    for held in (1, 10, 60):
+        monkeypatch.setattr(divergence, "HELD_ROWS", held)
+        assert summed() == whole
